@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,12 +45,26 @@ def aliases_from_rows(alias_rows: DataFrame, max_rows: int = 10_000) -> dict[str
     return table
 
 
+def _alias_table(aliases: Aliases | None) -> Column:
+    """Literal ``ARRAY<STRUCT<alias,key>>`` in matching order; read from JSON, which folds to a constant."""
+    rows = [{"alias": a, "key": key} for a, key in ordered_aliases(aliases)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<alias:string,key:string>>")
+
+
+def _known(text: Column, table: Column) -> Column:
+    """First entry of the table that is contained in a lower-case text; null when none is."""
+    return F.get(F.filter(table, lambda x: F.contains(text, x["alias"])), F.lit(0))
+
+
 def normalize_product(raw: Column | str, aliases: Aliases | None = None) -> Column:
     """Raw product text to product key: longest alias contained in it, else a slug."""
-    text = F.lower(strip(F.coalesce(as_col(raw), F.lit(""))))
-    known = [F.when(F.contains(text, F.lit(a)), F.lit(key)) for a, key in ordered_aliases(aliases)]
-    slug = F.btrim(F.regexp_replace(text, r"[^a-z0-9가-힣]+", "_"), F.lit("_"))
-    return F.coalesce(*known, slug)
+    table = _alias_table(aliases)
+    return let(
+        F.lower(strip(F.coalesce(as_col(raw), F.lit("")))),
+        lambda t: F.coalesce(
+            _known(t, table)["key"], F.btrim(F.regexp_replace(t, r"[^a-z0-9가-힣]+", "_"), F.lit("_"))
+        ),
+    )
 
 
 def split_product_version(raw: Column | str, aliases: Aliases | None = None) -> Column:
@@ -57,35 +72,37 @@ def split_product_version(raw: Column | str, aliases: Aliases | None = None) ->
 
     Cut after the longest known alias; without one, before the first token that looks like a version.
     """
-    text = strip(F.coalesce(as_col(raw), F.lit("")))
-    low = F.lower(text)
-    alias = F.coalesce(
-        *[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a, _ in ordered_aliases(aliases)],
-        F.lit(None).cast("string"),
-    )
+    table = _alias_table(aliases)
 
-    def cut(s: Column) -> Column:
-        end = F.position(s["alias"], s["low"]) + F.length(s["alias"]) - 1
-        product = strip(F.substring(s["text"], F.lit(1), end))
-        version = F.btrim(F.substring(s["text"], end + 1, F.length(s["text"])), F.lit(" -/().,"))
+    def cut(text: Column, alias: Column) -> Column:
+        end = F.position(alias, F.lower(text)) + F.length(alias) - 1
+        product = strip(F.substring(text, F.lit(1), end))
+        version = F.btrim(F.substring(text, end + 1, F.length(text)), F.lit(" -/().,"))
         return _pair(product, version)
 
-    def by_token(s: Column) -> Column:
-        tokens = F.split(F.regexp_replace(s["text"], r"(?U)\s+", " "), " ")
-        looks = F.transform(tokens, lambda t: t.rlike(r"(?i)^(\d|v\d|dc\b|\d{2}h\d)"))
-        at = F.array_position(looks, F.lit(True)).cast("int")
-        head = F.array_join(F.slice(tokens, F.lit(1), F.greatest(at - 1, F.lit(0))), " ")
-        tail = F.array_join(F.slice(tokens, F.greatest(at, F.lit(1)), F.size(tokens)), " ")
-        return F.when(at == 0, _pair(s["text"], F.lit(""))).otherwise(
-            _pair(F.when(head == "", s["text"]).otherwise(head), tail)
+    def by_token(text: Column) -> Column:
+        def at_token(tokens: Column) -> Column:
+            looks = F.transform(tokens, lambda t: t.rlike(r"(?i)^(\d|v\d|dc\b|\d{2}h\d)"))
+            return let(F.array_position(looks, F.lit(True)).cast("int"), lambda at: parts(tokens, at))
+
+        def parts(tokens: Column, at: Column) -> Column:
+            head = F.array_join(F.slice(tokens, F.lit(1), F.greatest(at - 1, F.lit(0))), " ")
+            tail = F.array_join(F.slice(tokens, F.greatest(at, F.lit(1)), F.size(tokens)), " ")
+            return F.when(at == 0, _pair(text, F.lit(""))).otherwise(
+                _pair(F.when(head == "", text).otherwise(head), tail)
+            )
+
+        return let(F.split(F.regexp_replace(text, r"(?U)\s+", " "), " "), at_token)
+
+    def split(text: Column) -> Column:
+        return let(
+            _known(F.lower(text), table)["alias"],
+            lambda alias: F.when(text == "", _pair(F.lit(""), F.lit("")))
+            .when(alias.isNotNull(), cut(text, alias))
+            .otherwise(by_token(text)),
         )
 
-    return let(
-        F.struct(text.alias("text"), low.alias("low"), alias.alias("alias")),
-        lambda s: F.when(s["text"] == "", _pair(F.lit(""), F.lit("")))
-        .when(s["alias"].isNotNull(), cut(s))
-        .otherwise(by_token(s)),
-    )
+    return let(strip(F.coalesce(as_col(raw), F.lit(""))), split)
 
 
 def _pair(product: Column, version: Column) -> Column:

@@ -111,27 +111,36 @@ def parse_version_rule(raw: Column | str) -> Column:
     Accepted: a list of versions, ``{"range":[lo,hi]}``, an object with one of lt/lte/gt/gte/eq, ``"*"``,
     empty or null. Anything else has the kind ``unknown``.
     """
-    text = strip(as_col(raw))
-    bare = F.when(text.rlike(r'^".*"$'), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     fields = ", ".join(f"{op} string" for op in RULE_OPERATORS)
-    obj = F.from_json(text, f"range array<string>, {fields}")
-    keys = F.json_object_keys(text)
-    bounds = obj["range"]
-    op = F.coalesce(*[F.when(F.array_contains(keys, k), F.lit(k)) for k in RULE_OPERATORS])
-    bound = F.coalesce(*[F.when(op == k, obj[k]) for k in RULE_OPERATORS])
-    items = F.from_json(text, "array<string>")
-    from_list = F.when(items.isNull(), rule_struct(F.lit("unknown"))).otherwise(rule_from_values(items))
-    from_object = (
-        F.when(F.size(bounds) == 2, rule_struct(F.lit("range"), lo=F.get(bounds, F.lit(0)), hi=F.get(bounds, F.lit(1))))
-        .when(op.isNotNull(), rule_struct(F.lit("cmp"), op=op, lo=bound))
-        .otherwise(rule_struct(F.lit("unknown")))
-    )
-    return (
-        F.when(bare.isNull() | bare.isin("", "*"), any_rule())
-        .when(F.startswith(text, F.lit("[")), from_list)
-        .when(F.startswith(text, F.lit("{")), from_object)
-        .otherwise(rule_struct(F.lit("unknown")))
-    )
+    unknown = rule_struct(F.lit("unknown"))
+
+    def from_list(items: Column) -> Column:
+        return F.when(items.isNull(), unknown).otherwise(rule_from_values(items))
+
+    def from_object(s: Column) -> Column:
+        obj, bounds = s["obj"], s["obj"]["range"]
+        op = F.coalesce(*[F.when(F.array_contains(s["keys"], k), F.lit(k)) for k in RULE_OPERATORS])
+
+        def compare(o: Column) -> Column:
+            value = F.coalesce(*[F.when(o == k, obj[k]) for k in RULE_OPERATORS])
+            return F.when(o.isNull(), unknown).otherwise(rule_struct(F.lit("cmp"), op=o, lo=value))
+
+        in_range = rule_struct(F.lit("range"), lo=F.get(bounds, F.lit(0)), hi=F.get(bounds, F.lit(1)))
+        return F.when(F.size(bounds) == 2, in_range).otherwise(let(op, compare))
+
+    def parse(text: Column) -> Column:
+        bare = F.when(text.rlike(r'^".*"$'), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+        parsed = F.struct(
+            F.from_json(text, f"range array<string>, {fields}").alias("obj"), F.json_object_keys(text).alias("keys")
+        )
+        return (
+            F.when(text.isNull() | bare.isin("", "*"), any_rule())
+            .when(F.startswith(text, F.lit("[")), let(F.from_json(text, "array<string>"), from_list))
+            .when(F.startswith(text, F.lit("{")), let(parsed, from_object))
+            .otherwise(unknown)
+        )
+
+    return let(strip(as_col(raw)), parse)
 
 
 def rule_with_keys(rule: Column) -> Column:
@@ -145,51 +154,44 @@ def rule_with_keys(rule: Column) -> Column:
     )
 
 
-def outcome(matched: Column | bool, candidate: Column | bool) -> Column:
-    m = F.lit(matched) if isinstance(matched, bool) else matched
-    c = F.lit(candidate) if isinstance(candidate, bool) else candidate
-    return F.struct(m.alias("matched"), c.alias("candidate"))
+# Outcome of a decision.
+NO, SURE, REVIEW = 0, 1, 2
 
 
 def decide(version: Column, key: Column, rule: Column) -> Column:
-    """Decision table over a normalised version, its sort key and a prepared rule.
+    """Decision table over a normalised version, its sort key and a prepared rule: NO, SURE or REVIEW.
 
-    Returns ``STRUCT<matched,candidate>``. A comparison that cannot be decided counts as a match that a
-    person has to review (``candidate``).
+    A comparison that cannot be decided counts as a match that a person has to review.
     """
-    review = outcome(True, True)
     kind, lo, hi, op = rule["kind"], rule["lo"], rule["hi"], rule["op"]
     compared = (
         F.when(op == "lt", key < lo).when(op == "lte", key <= lo)
         .when(op == "gt", key > lo).when(op == "gte", key >= lo).when(op == "eq", key == lo)
     )
+
+    def sure_if(condition: Column) -> Column:
+        return F.when(condition, SURE).otherwise(NO)
+
     return (
-        F.when(kind.isNull() | (kind == "any"), outcome(True, False))
-        .when(version == "", review)
-        .when(kind == "enum", outcome(F.array_contains(rule["values"], F.lower(version)), False))
-        .when((kind == "range") & (key.isNull() | lo.isNull()), review)
-        .when((kind == "range") & (key < lo), outcome(False, False))
-        .when((kind == "range") & hi.isNull(), review)
-        .when(kind == "range", outcome(key <= hi, False))
-        .when((kind == "cmp") & (key.isNull() | lo.isNull()), review)
-        .when(kind == "cmp", outcome(compared, False))
-        .otherwise(review)
+        F.when(kind.isNull() | (kind == "any"), SURE)
+        .when((version == "") | (kind == "unknown"), REVIEW)
+        .when(kind == "enum", sure_if(F.array_contains(rule["values"], F.lower(version))))
+        .when(key.isNull() | lo.isNull(), REVIEW)
+        .when(kind == "cmp", sure_if(compared))
+        .when(key < lo, NO)
+        .when(hi.isNull(), REVIEW)
+        .otherwise(sure_if(key <= hi))
     )
 
 
 def version_matches(version: Column | str, rule: Column | str) -> Column:
     """Does a version fall under a rule? ``STRUCT<matched BOOLEAN, candidate BOOLEAN>``."""
     v = normalize_version(version)
-    return let(
+    code = let(
         F.struct(v.alias("v"), version_sort_key(v).alias("k"), rule_with_keys(as_col(rule)).alias("r")),
         lambda s: decide(s["v"], s["k"], s["r"]),
     )
-
-
-def combine_outcomes(norm: Column, raw: Column) -> Column:
-    """Normalised and original version judged together: either may match; sure if either is sure."""
-    sure = (norm["matched"] & ~norm["candidate"]) | (raw["matched"] & ~raw["candidate"])
-    return outcome(norm["matched"] | raw["matched"], ~sure)
+    return let(code, lambda c: F.struct((c != NO).alias("matched"), (c == REVIEW).alias("candidate")))
 
 
 def rule_label(rule: Column | str) -> Column:

@@ -7,9 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposure.functions.version import (
-    combine_outcomes, decide, normalize_version, rule_with_keys, version_sort_key,
-)
+from exposure.functions.version import NO, SURE, decide, normalize_version, rule_with_keys, version_sort_key
 from exposure.operators.skew import first_per, hot_keys, sliced_join
 from exposure.operators.state import overlay, upsert
 
@@ -69,14 +67,15 @@ def rule_verdicts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
         version_sort_key("v_norm").alias("k_norm"), version_sort_key("v_raw").alias("k_raw"),
         F.pmod(F.xxhash64("v_norm", "v_raw"), F.lit(RULE_SLICES)).cast("int").alias("_slice"),
     )
-    verdict = combine_outcomes(
-        decide(F.col("v_norm"), F.col("k_norm"), F.col("r")), decide(F.col("v_raw"), F.col("k_raw"), F.col("r"))
-    )
+    by_norm = decide(F.col("v_norm"), F.col("k_norm"), F.col("r"))
+    by_raw = decide(F.col("v_raw"), F.col("k_raw"), F.col("r"))
+    # either text may match, and the match is sure if either is sure
+    verdict = F.when((by_norm == SURE) | (by_raw == SURE), SURE).otherwise(F.greatest(by_norm, by_raw))
     return (
         judged_rules.join(versions, ["product_key", "_slice"])
         .withColumn("verdict", verdict)
-        .where("verdict.matched")
-        .select("product_key", "version_rule", "v_norm", "v_raw", F.col("verdict.candidate").alias("candidate"))
+        .where(F.col("verdict") != NO)
+        .select("product_key", "version_rule", "v_norm", "v_raw", (F.col("verdict") != SURE).alias("candidate"))
     )
 
 

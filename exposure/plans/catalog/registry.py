@@ -47,9 +47,20 @@ def _with_views(sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+_PLANS: dict[tuple[str, str], Views] = {}
+
+
+def _views(spark: SparkSession, sf_dir: str) -> Views:
+    """The derived tables of a directory; their plans (not their rows) are kept for the session's other queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANS or _PLANS[key].spark is not spark:
+        _PLANS[key] = Views(spark, sf_dir)
+    return _PLANS[key]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        return lambda spark, sf_dir: fn(_views(spark, sf_dir))
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 

@@ -1,6 +1,8 @@
 """The library's tables derived from the driver's parquet tables (see FIXTURES.md).
 
-Every view covers its whole source table.
+Every view covers its whole source table. The tables that the data model keeps (assets, CVEs, codes, matches)
+are written once per session, as an installation would have them stored; product keys and version rules are
+thus computed once, when a row comes in.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from exposure.functions.text import strip
 from exposure.functions.version import parse_version_rule
 from exposure.operators.advisories import extract_codes
 from exposure.operators.matching import flag_suggested, lookup_cves, match_assets
+from exposure.session import store
 
 PRODUCTS = (
     "Windows 11", "win10 Pro", "Microsoft Windows Server 2022", "MS Office", "Google Chrome", "한컴오피스",
@@ -59,6 +62,9 @@ class Views:
 
     @cached_property
     def asset(self) -> DataFrame:
+        return store(self._asset(), "asset")
+
+    def _asset(self) -> DataFrame:
         c = self.table("customer")
         version = pick(VERSIONS, F.expr("(c_custkey * 7 + 3) % 11"))
         product = _product("c_custkey")
@@ -83,6 +89,9 @@ class Views:
 
     @cached_property
     def cve(self) -> DataFrame:
+        return store(self._cve(), "cve")
+
+    def _cve(self) -> DataFrame:
         p = self.table("part")
         bounds = tuple(v for v in VERSIONS[:9])
         a, b = pick(bounds, F.expr("p_size % 9")), pick(bounds, F.expr("(p_size * 5 + 1) % 9"))
@@ -169,9 +178,8 @@ class Views:
     @cached_property
     def codes(self) -> DataFrame:
         """The same codes taken from the lines, for queries that are not about extraction."""
-        return lookup_cves(
-            self.line.select("advisory_id", F.col("code").alias("cve_id_text")).distinct(), self.cve
-        )
+        lines = self.line.select("advisory_id", F.col("code").alias("cve_id_text"))
+        return store(lookup_cves(lines.distinct(), self.cve), "advisory_cve")
 
     @cached_property
     def exclusion_rule(self) -> DataFrame:
@@ -189,6 +197,9 @@ class Views:
     @cached_property
     def match(self) -> DataFrame:
         """Stored matches: results of the core join with analyst decisions and replies."""
+        return store(self._match(), "match")
+
+    def _match(self) -> DataFrame:
         m = flag_suggested(self.found, self.exclusion_rule)
         excluded = F.expr("(advisory_id + asset_id) % 11 = 0")
         ack = F.expr(

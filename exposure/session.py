@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +32,28 @@ def local_session(cpus: str | int = "*", app: str = "exposure", **conf: str) ->
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; only an unconfigured local session gets a folder of its own."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    if not folder:
+        used = context._jsc.sc().getCheckpointDir()
+        folder = None if used.isEmpty() else used.get()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_KEY} is not set; a cluster needs a shared checkpoint folder")
     folder = tempfile.mkdtemp(prefix="exposure-checkpoint-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
+    context.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and go on from there.
+
+    The plan that follows starts at a parquet scan, so lost executors re-read it instead of repeating the work
+    before it, and filters and columns are pushed into the scan.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    run = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark)}/exposure-{run}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
