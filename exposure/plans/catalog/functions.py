@@ -301,7 +301,7 @@ def _(v: Views) -> DataFrame:
 
 
 @query("ilike_any", """
-    SELECT c_custkey AS id FROM customer WHERE c_name ILIKE '%mer#%12_' OR c_mktsegment ILIKE '%mer#%12_'
+    SELECT c_custkey AS id FROM customer WHERE c_name ILIKE '%mer#%12_%' OR c_mktsegment ILIKE '%mer#%12_%'
     UNION ALL SELECT -1 - p_partkey FROM part WHERE p_name ILIKE '%RED%' OR p_type ILIKE '%RED%'""")
 def _(v: Views) -> DataFrame:
     c = v.table("customer").where(ilike_any(["c_name", "c_mktsegment"], "mer#%12_")).select(F.col("c_custkey").alias("id"))
