@@ -20,11 +20,13 @@ def as_date(as_of: Column | dt.date | str) -> Column:
 def parse_date_any(text: Column | str) -> Column:
     """First ten characters read as ``Y-m-d``, ``Y.m.d`` or ``Y/m/d``; null otherwise."""
     s = F.left(as_col(text).cast("string"), F.lit(10))
-    return F.coalesce(*[F.try_to_date(s, f"yyyy{sep}M{sep}d") for sep in ("-", ".", "/")])
+    # the layout is checked first: a failed parse costs far more than a match
+    return F.when(s.rlike(r"^\d{4}([-./])\d{1,2}\1\d{1,2}$"), F.try_to_date(F.translate(s, "./", "--"), "yyyy-M-d"))
 
 
 def parse_date_strict(text: Column | str) -> Column:
-    return F.try_to_date(F.left(as_col(text).cast("string"), F.lit(10)), "yyyy-M-d")
+    s = F.left(as_col(text).cast("string"), F.lit(10))
+    return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d"))
 
 
 def d_day(due: Column | str, as_of: Column | dt.date | str) -> Column:

@@ -58,10 +58,9 @@ def rule_verdicts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
     Both sides hold distinct values only, so the rule logic runs once per (rule, version) rather than once
     per (CVE, asset). Only pairs that match come out.
     """
-    judged_rules = rules.select(
-        "product_key", "version_rule", rule_with_keys(F.col("version_rule")).alias("r"),
-        F.explode(F.sequence(F.lit(0), F.lit(RULE_SLICES - 1))).alias("_slice"),
-    )
+    # the rule is prepared below the explode, once per rule
+    prepared = rules.select("product_key", "version_rule", rule_with_keys(F.col("version_rule")).alias("r"))
+    judged_rules = prepared.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(RULE_SLICES - 1))))
     versions = profiles.select(
         "product_key", "v_norm", "v_raw",
         version_sort_key("v_norm").alias("k_norm"), version_sort_key("v_raw").alias("k_raw"),
@@ -156,34 +155,42 @@ def merge_matches(old: DataFrame, new: DataFrame) -> DataFrame:
 # --- counts --------------------------------------------------------------------------------------
 def match_run_stats(merged: DataFrame, asset: DataFrame) -> DataFrame:
     """Per advisory, over the rows of one run: active, departments, candidates (also excluded), suggested."""
-    active = F.col("status") == "MATCHED"
-    return (
-        merged.where("touched")
-        .join(asset.select("asset_id", "department_id"), "asset_id")
-        .groupBy("advisory_id")
-        .agg(
-            F.count_if(active).alias("matched"),
-            F.count_distinct(F.when(active, F.col("department_id"))).alias("departments"),
-            F.count_if(F.col("reason.candidate")).alias("candidates"),
-            F.count_if(F.col("reason.suggested_exclude")).alias("suggested_exclude"),
-        )
+    rows = merged.where("touched").join(asset.select("asset_id", "department_id"), "asset_id")
+    per = rows.groupBy("advisory_id", "department_id").agg(
+        F.count_if(F.col("status") == "MATCHED").alias("matched"),
+        F.count_if(F.col("reason.candidate")).alias("candidates"),
+        F.count_if(F.col("reason.suggested_exclude")).alias("suggested_exclude"),
+    )
+    return per.groupBy("advisory_id").agg(
+        F.sum("matched").alias("matched"),
+        F.count_if((F.col("matched") > 0) & F.col("department_id").isNotNull()).alias("departments"),
+        F.sum("candidates").alias("candidates"),
+        F.sum("suggested_exclude").alias("suggested_exclude"),
     )
 
 
 def match_summary(matches: DataFrame, asset: DataFrame) -> DataFrame:
-    """Per advisory: total, active, excluded, departments and candidates among the active ones."""
+    """Per advisory: total, active, excluded, departments and candidates among the active ones.
+
+    Counted per (advisory, department) first, so that departments need no distinct aggregate.
+    """
     active = F.col("status") == "MATCHED"
-    return (
+    per = (
         matches.join(asset.select("asset_id", "department_id"), "asset_id")
-        .groupBy("advisory_id")
+        .groupBy("advisory_id", "department_id")
         .agg(
             F.count("*").alias("total"),
             F.count_if(active).alias("active"),
-            F.count_if(~active).alias("excluded"),
-            F.count_distinct(F.when(active, F.col("department_id"))).alias("departments"),
             F.count_if(active & F.col("reason.candidate")).alias("candidates"),
         )
     )
+    return per.groupBy("advisory_id").agg(
+        F.sum("total").alias("total"),
+        F.sum("active").alias("active"),
+        F.sum(F.col("total") - F.col("active")).alias("excluded"),
+        F.count_if((F.col("active") > 0) & F.col("department_id").isNotNull()).alias("departments"),
+        F.sum("candidates").alias("candidates"),
+    )
 
 
 def match_count_per_cve(matches: DataFrame) -> DataFrame:

@@ -167,25 +167,39 @@ def _product(prefix: str = "") -> Column:
     return F.coalesce(F.nullif(F.col(f"{prefix}product_raw"), F.lit("")), F.col(f"{prefix}product_key"))
 
 
+def _sorted_values(rows: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
+    """Sorted distinct values per key. Repeats go in a plain aggregate first, so only short lists are built."""
+    distinct = rows.select(*keys, value.alias(out)).where(F.col(out).isNotNull()).distinct()
+    return distinct.groupBy(*keys).agg(F.sort_array(F.collect_list(out)).alias(out))
+
+
+def _empty_list(c: str) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>")).alias(c)
+
+
 def impact_departments(matches: DataFrame, asset: DataFrame, department: DataFrame) -> DataFrame:
     """Per (advisory, department): distinct assets and the sorted owners."""
-    m = active_matches(matches, asset).join(
-        department.select("department_id", F.col("name").alias("department")), "department_id"
-    )
-    owner = F.nullif(F.col("owner_name"), F.lit(""))
-    return m.groupBy("advisory_id", "department_id", "department").agg(
-        F.count_distinct("asset_id").alias("asset_count"),
-        F.sort_array(F.collect_set(owner)).alias("owners"),
+    keys = ["advisory_id", "department_id"]
+    m = active_matches(matches, asset)
+    counts = m.select(*keys, "asset_id").distinct().groupBy(*keys).agg(F.count("*").alias("asset_count"))
+    owners = _sorted_values(m, keys, F.nullif(F.col("owner_name"), F.lit("")), "owners")
+    return (
+        counts.join(owners, keys, "left")
+        .join(department.select("department_id", F.col("name").alias("department")), "department_id")
+        .select(*keys, "department", "asset_count", _empty_list("owners"))
     )
 
 
 def impact(matches: DataFrame, asset: DataFrame) -> DataFrame:
     """Per advisory: affected departments, products (sorted) and match rows."""
-    product = F.nullif(_product(), F.lit(""))
-    return active_matches(matches, asset).groupBy("advisory_id").agg(
-        F.count_distinct("department_id").alias("affected_dept_count"),
-        F.sort_array(F.collect_set(product)).alias("affected_products"),
-        F.count("*").alias("affected_asset_count"),
+    m = active_matches(matches, asset)
+    per = m.groupBy("advisory_id", "department_id").agg(F.count("*").alias("n"))
+    counts = per.groupBy("advisory_id").agg(
+        F.count("department_id").alias("affected_dept_count"), F.sum("n").alias("affected_asset_count")
+    )
+    products = _sorted_values(m, ["advisory_id"], F.nullif(_product(), F.lit("")), "affected_products")
+    return counts.join(products, "advisory_id", "left").select(
+        "advisory_id", "affected_dept_count", _empty_list("affected_products"), "affected_asset_count"
     )
 
 
