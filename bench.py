@@ -12,7 +12,7 @@ import time
 
 from exposure.operators import board as B, feeds as FD, matching as M, notify as N, rollups as R
 from exposure.operators.advisories import extract_codes
-from exposure.plans.catalog.notifications import _rows as department_rows
+from exposure.plans.catalog.notifications import department_rows
 from exposure.plans.demo import AS_OF, Views
 from exposure.plans.exposure_report import department_exposure
 from exposure.plans.matching_run import run_matching

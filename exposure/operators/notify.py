@@ -12,7 +12,7 @@ from exposure.constants import (
     AUTO_DEPLOY_OWNER, CLOSED_ACKS, DEFAULT_CHANNELS, DELIVERED, OPEN_ACKS, SYSTEM_LABEL, TRACKED_STATUSES,
 )
 from exposure.functions.deadlines import d_day
-from exposure.functions.messages import message_line, render_message
+from exposure.functions.messages import idempotency_key, message_line, render_message
 from exposure.operators.matching import active_matches
 from exposure.operators.skew import first_per
 from exposure.operators.state import overlay
@@ -86,62 +86,98 @@ def asset_keys(rows: DataFrame, part_rows: int = PART_ROWS, id_range: int = ID_R
     )
 
 
-def messages(
-    rows: DataFrame, advisory: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER,
-    part_rows: int = PART_ROWS, id_range: int = ID_RANGE,
-) -> DataFrame:
-    """Message of every (advisory, department): ``part`` 0 holds all lines of an ordinary group.
-
-    Lines follow (code, asset). A group of more than ``part_rows`` rows comes as several parts by asset id
-    range, each a complete message with its own lines and the count of the whole group.
-    """
-    sizes = group_sizes(rows)
-    owned = rows.where(F.col("owner_name").isNotNull() & ~F.col("owner_name").isin("", sentinel))
-    owners = _first_seen_list(owned, "owner_name", "_owners")
-    line = message_line(
+def _line() -> Column:
+    return message_line(
         F.col("asset_no"),
         F.coalesce(F.nullif(F.col("product_raw"), F.lit("")), F.col("product_key")),
         F.coalesce(F.nullif(F.col("version_raw"), F.lit("")), F.col("version_norm")),
         F.col("cve_id_text"), F.col("severity"),
     )
-    big = sizes.where(F.col("asset_count") > part_rows).select(*GROUP, F.lit(True).alias("_big"))
-    part = F.when(F.col("_big"), F.floor(F.col("asset_id") / id_range)).otherwise(0).cast("long")
-    lines = (
-        rows.join(big, GROUP, "left")
-        .groupBy(*GROUP, part.alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("cve_id_text", "asset_id", line.alias("line")))).alias("_rows"))
+
+
+def _owner(sentinel: str) -> Column:
+    return F.when(~F.col("owner_name").isin("", sentinel), F.col("owner_name"))
+
+
+def _ordinary_groups(rows: DataFrame, sentinel: str) -> DataFrame:
+    """Groups whose rows fit one message: everything comes from one ordered list per group."""
+    entry = F.struct("cve_id_text", "asset_id", _owner(sentinel).alias("owner"), _line().alias("line"))
+    g = rows.groupBy(*GROUP).agg(
+        F.first("department").alias("department"), F.array_sort(F.collect_list(entry)).alias("_rows")
     )
+    ids = F.array_sort(F.array_distinct(F.transform("_rows", lambda r: r["asset_id"])))
+    return g.select(
+        *GROUP, "department", F.lit(0).cast("long").alias("part"),
+        F.size("_rows").cast("long").alias("asset_count"),
+        F.array_distinct(F.array_compact(F.transform("_rows", lambda r: r["owner"]))).alias("_owners"),
+        F.array_distinct(F.transform("_rows", lambda r: r["cve_id_text"])).alias("cves"),
+        F.transform("_rows", lambda r: r["line"]).alias("_lines"),
+        ids.alias("asset_ids"), F.size(ids).cast("long").alias("asset_total"),
+    ).withColumn("idempotency_key", idempotency_key("advisory_id", "department_id", "asset_ids"))
+
+
+def _large_groups(
+    rows: DataFrame, sizes: DataFrame, sentinel: str, part_rows: int, id_range: int
+) -> DataFrame:
+    """Groups that come in several parts, one per range of asset ids; no list holds a whole group."""
+    part = F.floor(F.col("asset_id") / id_range).cast("long")
+    lines = rows.groupBy(*GROUP, part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("cve_id_text", "asset_id", _line().alias("line")))).alias("_rows")
+    )
+    owned = rows.withColumn("_owner", _owner(sentinel)).where("_owner IS NOT NULL")
     return (
         lines.join(sizes, GROUP)
-        .join(owners, GROUP, "left")
-        .join(advisory.select("advisory_id", "title", "doc_no", "source_org", "due_at"), "advisory_id")
+        .join(_first_seen_list(owned, "_owner", "_owners"), GROUP, "left")
+        .join(_first_seen_list(rows, "cve_id_text", "cves"), GROUP)
+        .join(asset_keys(rows, part_rows, id_range), GROUP)
         .select(
             *GROUP, "department", "part", "asset_count",
-            _owner_text().alias("owners"),
-            render_message(
-                F.col("title"), F.col("doc_no"), F.col("source_org"), F.col("due_at"), F.col("department"),
-                _owner_text(), F.col("asset_count"), F.transform("_rows", lambda r: r["line"]),
-            ).alias("message"),
+            F.coalesce("_owners", F.array().cast("array<string>")).alias("_owners"), "cves",
+            F.transform("_rows", lambda r: r["line"]).alias("_lines"), "asset_ids", "asset_total", "idempotency_key",
         )
     )
 
 
-def _owner_text() -> Column:
-    return F.coalesce(F.nullif(F.array_join("_owners", ", "), F.lit("")), F.lit(SYSTEM_LABEL))
+def messages(
+    rows: DataFrame, advisory: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER,
+    part_rows: int = PART_ROWS, id_range: int = ID_RANGE,
+) -> DataFrame:
+    """Message of every (advisory, department), with its codes, assets and key.
+
+    Lines follow (code, asset); ``part`` 0 holds all lines of an ordinary group. A group of more than
+    ``part_rows`` rows comes as several parts by asset id range, each a complete message with its own lines
+    and the count of the whole group.
+    """
+    sizes = group_sizes(rows)
+    large = sizes.where(F.col("asset_count") > part_rows)
+    groups = _ordinary_groups(rows.join(large, GROUP, "left_anti"), sentinel).unionByName(
+        _large_groups(rows.join(large, GROUP, "left_semi"), large, sentinel, part_rows, id_range)
+    )
+    owners = F.coalesce(F.nullif(F.array_join("_owners", ", "), F.lit("")), F.lit(SYSTEM_LABEL))
+    text = render_message(
+        F.col("title"), F.col("doc_no"), F.col("source_org"), F.col("due_at"), F.col("department"), F.col("owners"),
+        F.col("asset_count"), F.col("_lines"),
+    )
+    return (
+        groups.withColumn("owners", owners)
+        .join(advisory.select("advisory_id", "title", "doc_no", "source_org", "due_at"), "advisory_id")
+        .select(
+            *GROUP, "department", "part", "asset_count", "owners", "cves", "asset_ids", "asset_total",
+            "idempotency_key", text.alias("message"),
+        )
+    )
 
 
 def notification_preview(
     rows: DataFrame, advisory: DataFrame, notifications: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER
 ) -> DataFrame:
     """Per (advisory, department): rows, owners, codes in first-seen order, message, already sent?"""
-    codes = _first_seen_list(rows, "cve_id_text", "cves")
     sent = (
         notifications.where(F.col("status").isin(*DELIVERED)).select(*GROUP).distinct()
         .withColumn("_sent", F.lit(True))
     )
     return (
         messages(rows, advisory, sentinel)
-        .join(codes, GROUP)
         .join(sent, GROUP, "left")
         .select(
             *GROUP, "department", "part", "asset_count", "owners",
@@ -178,7 +214,7 @@ def plan_notifications(
     ``send``. ``targets`` (advisory_id, department_id[, channels]) narrows the departments.
     """
     default = F.array(*[F.lit(c) for c in channels])
-    plan = asset_keys(rows).join(messages(rows, advisory), GROUP)
+    plan = messages(rows, advisory)
     if targets is not None:
         cols = [*GROUP, "channels"] if "channels" in targets.columns else GROUP
         plan = plan.join(targets.select(*cols), GROUP)

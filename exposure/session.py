@@ -15,6 +15,8 @@ def local_session(cpus: str | int = "*", app: str = "exposure", **conf: str) ->
     settings = {
         "spark.sql.shuffle.partitions": "8" if cpus == "*" else str(cpus),
         "spark.sql.adaptive.enabled": "true",
+        # small local shuffles carry little data but much work per row: keep the cores busy
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
