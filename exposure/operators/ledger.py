@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposure.constants import HEADER_SCAN_ROWS, LEDGER_FIELD_HINTS
-from exposure.functions.grid import CellSpec, col_letter, letter_to_idx, resolve_cell
+from exposure.functions.grid import CellSpec, col_letter, resolve_cell
 from exposure.functions.product import normalize_product, split_product_version
 from exposure.functions.text import any_of, blank_to_null, is_blank, let, strip
 from exposure.functions.version import normalize_version
@@ -316,6 +316,12 @@ def commit_assets(
     }
 
 
-def mapping_letters(mapping: Column | str) -> Column:
-    """Column indexes of a saved ``MAP<field, letter>``."""
-    return F.transform_values(mapping, lambda _, letter: letter_to_idx(letter))
+def saved_mapping(mappings: DataFrame, name: str) -> dict[str, object]:
+    """A saved column mapping by its name, ready for :func:`map_rows`.
+
+    ``mappings``: ``name, mapping MAP<field, STRUCT<col,sep,part,mode>>``, one row per name.
+    """
+    row = mappings.where(F.col("name") == name).select("mapping").first()
+    if row is None:
+        raise ValueError(f"no mapping named {name}")
+    return {f: {k: v for k, v in spec.asDict().items() if v is not None} for f, spec in row["mapping"].items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from exposure.plans.catalog.views_sql import (
     ack_ko_sql, day_sql, pct_sql, sev_ko_sql, sla_sql, ts_sql,
 )
 from exposure.plans.demo import AS_OF, Views
+from exposure.plans.report import report_tables
 
 _COUNTS = """count(*) AS total, count(*) FILTER (ack_status = 'NONE') AS "none", count(*) FILTER (ack_status = 'IN_PROGRESS') AS in_progress,
     count(*) FILTER (ack_status = 'DONE') AS done, count(*) FILTER (ack_status = 'UNABLE') AS unable,
@@ -259,4 +262,14 @@ def _(v: Views) -> DataFrame:
     return R.report_cves(v.codes, v.cve)
 
 
+@query("report_tables", f"""
+    SELECT 'summary' AS sheet, count(*) * 9 AS n FROM x_advisory UNION ALL SELECT 'departments', count(*) FROM x_note
+    UNION ALL SELECT 'assets', count(*) FROM x_active
+    UNION ALL SELECT 'cves', count(*) FROM x_code WHERE lookup_status = 'FOUND'""")
+def _(v: Views) -> DataFrame:
+    tables = report_tables(v.advisory, v.notification, v.match, v.asset, v.department, v.codes, v.cve, AS_OF)
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("sheet"), "n") for k, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 HISTORY_SQL, DEPARTMENT_ROWS_SQL, BRIEF_SQL, DONE_SQL, DONE_PAIR_SQL, IMPACT_SQL = _HISTORY, _DEPT_ROWS, _BRIEF, _DONE, _DONE_PAIR, _IMPACT

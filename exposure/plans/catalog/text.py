@@ -16,7 +16,7 @@ _PATTERN = r"(?i)CVE[\s\-_]*(\d{4})[\s\-_]+(\d{4,7})"
 _SPACE = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def _hits_sql(source: str, key: str) -> str:
+def hits_sql(source: str, key: str) -> str:
     """First hit per (text, code) with its context, from running offsets."""
     return f"""
     WITH p AS (SELECT {key}, t, regexp_extract_all(t, '{_PATTERN}') AS hits, regexp_split_to_array(t, '{_PATTERN}') AS gaps
@@ -31,12 +31,12 @@ def _hits_sql(source: str, key: str) -> str:
 
 
 # Codes put into the running prose of every document, several times and in several spellings.
-_MARKED = """SELECT doc_id, replace(replace(text, '. ', ' CVE_2024_' || (1000 + doc_id % 9000) || '. '),
+MARKED_SQL = """SELECT doc_id, replace(replace(text, '. ', ' CVE_2024_' || (1000 + doc_id % 9000) || '. '),
     ', ', ' (cve 2019  ' || (20000 + doc_id) || '), CVE-2020-1472 ') AS t FROM documents"""
 
 
-def _marked(v: Views) -> DataFrame:
-    return v.table("documents").select(
+def marked(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "doc_id",
         F.expr(
             "replace(replace(text, '. ', concat(' CVE_2024_', 1000 + doc_id % 9000, '. ')),"
@@ -45,27 +45,27 @@ def _marked(v: Views) -> DataFrame:
     )
 
 
-@query("extract_codes_documents", _hits_sql(_MARKED, "doc_id"))
+@query("extract_codes_documents", hits_sql(MARKED_SQL, "doc_id"))
 def _(v: Views) -> DataFrame:
-    return extract_codes(_marked(v), "doc_id").select("doc_id", "cve_id_text", F.col("pos").cast("bigint").alias("pos"), "snippet")
+    return extract_codes(marked(v.table("documents")), "doc_id").select("doc_id", "cve_id_text", F.col("pos").cast("bigint").alias("pos"), "snippet")
 
 
 @query("extract_cves_documents", f"""
-    SELECT doc_id, string_agg(cve_id_text, '|' ORDER BY pos) AS codes FROM ({_hits_sql(_MARKED, 'doc_id')}) GROUP BY doc_id""")
+    SELECT doc_id, string_agg(cve_id_text, '|' ORDER BY pos) AS codes FROM ({hits_sql(MARKED_SQL, 'doc_id')}) GROUP BY doc_id""")
 def _(v: Views) -> DataFrame:
     codes = extract_cves("text")
-    out = _marked(v).select("doc_id", F.transform(codes, lambda c: c["code"]).alias("codes")).where(F.size("codes") > 0)
+    out = marked(v.table("documents")).select("doc_id", F.transform(codes, lambda c: c["code"]).alias("codes")).where(F.size("codes") > 0)
     return flat(out)
 
 
-@query("extract_codes_advisories", _hits_sql("SELECT advisory_id, text AS t FROM x_text", "advisory_id"))
+@query("extract_codes_advisories", hits_sql("SELECT advisory_id, text AS t FROM x_text", "advisory_id"))
 def _(v: Views) -> DataFrame:
     return extract_codes(v.advisory_text).select(
         "advisory_id", "cve_id_text", F.col("pos").cast("bigint").alias("pos"), "snippet"
     )
 
 
-@query("extract_conversations", _hits_sql("""
+@query("extract_conversations", hits_sql("""
     SELECT conv_id * 100 + turn AS id, replace(text, ' ', ' cve-2023-' || (1000 + conv_id * 100 + turn) || ' ') AS t FROM conversations""", "id"))
 def _(v: Views) -> DataFrame:
     t = v.table("conversations").selectExpr(

@@ -258,7 +258,11 @@ class Views:
 
     @cached_property
     def ack_event(self) -> DataFrame:
-        return self.table("events").selectExpr(
+        return self.ack_events(self.table("events"))
+
+    @staticmethod
+    def ack_events(events: DataFrame) -> DataFrame:
+        return events.selectExpr(
             "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id * 20 AS advisory_id", "event_id % 25 AS department_id",
             "CASE event_type WHEN 'purchase' THEN 'DONE' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'error' THEN 'UNABLE'"
             " ELSE 'NONE' END AS ack_status",

@@ -113,3 +113,13 @@ def test_policies(spark):
 def test_mapping_needs_department_and_product():
     with pytest.raises(ValueError, match="department"):
         L.specs_of({"product_key": "C"})
+
+
+def test_saved_mapping(spark):
+    rows = spark.createDataFrame(
+        [("std", {"department": ("B", None, None, None), "product_key": ("C", None, None, "product"), "owner_name": ("D", ",", 1, None)})],
+        "name string, mapping map<string, struct<col:string,sep:string,part:int,mode:string>>")
+    specs = L.specs_of(L.saved_mapping(rows, "std"))
+    assert (specs["department"].index, specs["product_key"].mode, specs["owner_name"].part) == (1, "product", 1)
+    with pytest.raises(ValueError, match="no mapping"):
+        L.saved_mapping(rows, "other")
