@@ -91,6 +91,22 @@ def test_every_format_through_one_reader(spark, tmp_path):
         "google chrome", "google_chrome", "2.1", "CRITICAL", "한글 설명, [1,2]2", ["cpe:2.3:a:google:chrome:*"], "NVD")
 
 
+def test_file_order_and_odd_names(spark, tmp_path):
+    paths = []
+    for i, name in enumerate(["b 한글+1.json", "a%20x.json", "c.json"]):
+        paths.append(write(tmp_path / name, {"cves": [{"cve_id": "CVE-2024-0001", "description": f"d{i}"}, {"cve_id": f"CVE-2024-100{i}"}]}))
+    for i in (3, 4):
+        csv = tmp_path / f"{9 - i}.csv"
+        csv.write_text(f"cve,desc\nCVE-2024-0001,d{i}\n" if i == 3 else "desc,CVE\nd4,CVE-2024-0001\n")
+        paths.append(str(csv))
+    from exposure.operators.feeds import last_wins
+
+    rows = feeds.read_feed(spark, paths)
+    assert sorted((r.file_seq, r.description) for r in rows.where("cve_id = 'CVE-2024-0001'").collect()) == [(i, f"d{i}") for i in range(5)]
+    assert last_wins(rows).where("cve_id = 'CVE-2024-0001'").first().description == "d4"
+    assert feeds.read_feed(spark, paths[:3]).count() == 6
+
+
 def test_unknown_format(spark, tmp_path):
     bad = write(tmp_path / "x.json", {"foo": 1})
     with pytest.raises(ValueError, match="unsupported"):
