@@ -153,7 +153,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     rows = cut.withColumn("_one", F.lit(1).cast("long"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("ids_crc32")]
-    ranked = running(rows, "length", order, "_one", "_rank", "pieces").drop("_one")
+    ranked = running(rows, "length", order, "_one", "_rank", "pieces", settle=True).drop("_one")
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if counts and (min(counts) < 1 or max(counts) > capacity):
         raise ValueError(f"lengths must lie between 1 and {capacity}")

@@ -42,18 +42,23 @@ def _sums(batches: Iterator[pa.RecordBatch], group: str, weight: str) -> Iterato
         )
 
 
-def running(df: DataFrame, group: str, order: list[Column], weight: str, out: str, name: str) -> DataFrame:
+def running(df: DataFrame, group: str, order: list[Column], weight: str, out: str, name: str, settle: bool = False) -> DataFrame:
     """``df`` with ``out``: the sum of ``weight`` over the rows of the same group that come earlier in ``order``.
 
     Rows are range-sorted by group and order, so a group of any size lies over many tasks. Each task adds up its own rows;
     the sums of whole tasks, one row per task and group, give what earlier tasks hold. Only the first group of a task can
     have begun in an earlier one, so the table that is broadcast has at most one row per task.
 
+    A range sort reads its input twice, first to sample the ranges; ``settle`` writes rows that are dear to work out and small
+    to keep to the shared folder before.
+
     Weights are whole numbers and not null; a null group is a group like any other; rows that tie take an arbitrary order.
     ``df`` must not have columns named ``_part``, ``_before``, ``_offset`` or ``_group``.
     """
     kinds = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_before", LongType())])
     keys = [F.col(group).asc_nulls_last(), *order, F.rand(_SEED)]
+    if settle:
+        df = store(df, f"{name}-rows")
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys[:-1])
     rows = store(dealt.mapInArrow(lambda batches: _sums(batches, group, weight), kinds), name)
     sums = rows.groupBy("_part", F.col(group).alias("_group")).agg(F.sum(weight).alias("_sum"))
