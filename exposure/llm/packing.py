@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from exposure.llm.running import running
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a Python worker remembers; the memory is emptied when it is full (some 250 bytes a word).
-REMEMBERED = 1_000_000
+# Words whose ids a Python worker remembers; the memory is emptied when it is full (some 200 bytes a word).
+REMEMBERED = 1_250_000
+# Bytes of text that a task works on at a time; a single longer text is still one piece of work.
+AT_ONCE = 12 << 20
 _WORDS: dict[tuple[str, int], "_Words"] = {}
 
 
@@ -27,37 +30,86 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class _Words(dict):
-    """Ids of a word as little-endian 32-bit numbers.
+class _Words:
+    """Ids of words as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in order. Words are
-    cut at spaces and line feeds only; whatever else the tokenizer takes for white space stays inside a word and is left to it.
+    cut at ASCII white space only; whatever else the tokenizer takes for white space stays inside a word and is left to it.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
+        found = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.encode = found.encode_batch_fast
+        # ids that end a run of letters
+        vocabulary = found.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, one text after the other, and where each text ends. Each different word is looked up once."""
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        parts = list(map(self.known.get, words))
+        new = {w for w, p in zip(words, parts, strict=True) if p is None}
         if new:
-            for word, coded in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                self[word] = np.array(coded.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
-
-
-def tokenize(text: str, path: str) -> np.ndarray:
-    """All ids of a text and the end id."""
+            self.learn(new)
+            parts = [self.known[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        first = np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        places = np.repeat(first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        of_text = cut.offsets.to_numpy()
+        return np.frombuffer(b"".join(parts), "<u4")[places], np.r_[0, ends][of_text[1:] - of_text[0]]
+
+    def learn(self, new: set[str]) -> None:
+        """A word of letters and perhaps a full stop or comma has the ids of both, as the tokenizer cuts there. The letters of
+        many words are encoded at once; other words go one by one. Case is the tokenizer's matter but for plain A-Z."""
+        known, plain, odd = self.known, {}, []
+        for word in new:
+            core, end = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+            if core.isalpha():
+                plain[word] = (core.lower() if core.isascii() else core, end)
+            else:
+                odd.append(word)
+        odd += [end for end in (".", ",") if end not in known and end not in new]
+        letters = list({core for core, _ in plain.values()}.difference(known))
+        for i in range(0, len(letters), 128):
+            some = letters[i : i + 128]
+            coded = np.array(self.encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[coded]) + 1
+            if len(ends) == len(some):
+                data, cuts = coded.tobytes(), [0, *(ends * 4).tolist()]
+                known.update(zip(some, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                odd += some
+        for word, coded in zip(odd, self.encode(odd, add_special_tokens=False), strict=True):
+            known[word] = np.array(coded.ids, "<u4").tobytes()
+        for word, (core, end) in plain.items():
+            known[word] = known[core] + known[end] if end else known[core]
+
+
+def tokenize(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """The ids of each text and the end id; null counts as empty. Some megabytes of text are worked on at a time."""
     key = (path, os.getpid())
     if key not in _WORDS:
         _WORDS[key] = _Words(path)
-    return np.append(np.frombuffer(_WORDS[key].ids(text), "<u4"), np.array([END_ID], "<u4"))
+    texts = texts.fill_null("")
+    block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // AT_ONCE
+    starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    for a, b in zip(starts, starts[1:], strict=False):
+        ids, ends = _WORDS[key].ids(texts[a:b])
+        begin = 0
+        for end in ends.tolist():
+            yield np.append(ids[begin:end], np.array([END_ID], "<u4"))
+            begin = end
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -74,8 +126,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                coded = tokenize(text or "", path)
+            for row, coded in enumerate(tokenize(batch.column("text"), path)):
                 for s in range(0, len(coded), capacity):
                     part = coded[s : s + capacity]
                     rows.append(row)
