@@ -118,7 +118,9 @@ def interleave(pages: DataFrame, media: DataFrame, key: str = "page_id") -> Data
     items = parsed.select(key, "_page", F.explode_outer("_items").alias("_item"))
     known = media.where("digest IS NOT NULL").dropDuplicates(["digest"])
     known = known.select(F.col("digest").alias("_digest"), F.struct("*").alias("_media"))
-    found = items.join(known, F.col("_item.digest") == F.col("_digest"), "left")
+    # items without a digest find nothing; a key of their own keeps them from meeting in one task
+    own = F.concat_ws(":", F.lit("none"), "_page", "_item.position")
+    found = items.join(known, F.coalesce("_item.digest", own) == F.col("_digest"), "left")
     item = F.struct(*[F.col(f"_item.{f}").alias(f) for f in ("position", *FIELDS)], F.col("_media").alias("media"))
     placed = F.collect_list(F.when(F.col("_item").isNotNull(), F.struct(F.col("_item.position").alias("at"), item.alias("item"))))
     rows = found.groupBy("_page", F.col(key)).agg(placed.alias("_placed"))
