@@ -31,7 +31,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one on a source's cut as its leading words."""
-    mixed = mixing.mix(docs, keep=docs.columns)
+    mixed = mixing.mix(docs, keep=docs.columns, settle=False)
     rows = mixing.repeated(mixed, F.col("row.text"), F.col("size"), F.col("taken"))
     n_chars = F.when(F.col("_text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("_text").cast("long"))
     new = {"text": F.col("_text"), "n_chars": n_chars}

@@ -53,6 +53,7 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     most: int = MOST,
     seed: str = "mix",
+    settle: bool = True,
 ) -> DataFrame:
     """How many words of each document (doc_id, text, source) the mix takes, repeats counted.
 
@@ -61,6 +62,8 @@ def mix(
     whose words begin before the cut, and the document on the cut gives only its words up to it. So a source's taken words
     are its target, rounded, and no document gives more than ``most`` times its size.
 
+    ``settle`` writes the counted rows once before they are sorted; rows that carry whole texts are better read twice.
+
     Null text: size 0, taken 0. A null source is a source of its own. Null or repeated ids are ordered by text checksum;
     rows equal in all are interchangeable. Other columns may have any name: rows travel as one struct. No rows: no rows.
     """
@@ -71,7 +74,7 @@ def mix(
         F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("_key"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("_tie"),
     )
-    placed = running(rows, "source", [F.col("_key"), F.col("_tie")], "size", "before", "mix").drop("_key", "_tie")
+    placed = running(rows, "source", [F.col("_key"), F.col("_tie")], "size", "before", "mix", settle).drop("_key", "_tie")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes, weights, most).withColumnRenamed("source", "_source")
     budget = F.floor(F.col("target") + 0.5)
