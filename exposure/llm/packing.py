@@ -18,9 +18,9 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers; the memory is emptied when it is full (some 200 bytes a word).
-REMEMBERED = 1_250_000
+REMEMBERED = 700_000
 # Bytes of text that a task works on at a time; a single longer text is still one piece of work.
-AT_ONCE = 12 << 20
+AT_ONCE = 8 << 20
 _WORDS: dict[tuple[str, int], "_Words"] = {}
 
 

@@ -23,6 +23,9 @@ WINDOW = 24
 # Words whose emission a Python worker remembers; the memory is emptied when it is full.
 REMEMBERED = 500_000
 
+# Texts that a task tags at once.
+AT_ONCE = 2048
+
 TOKEN = re.compile(r"\w+")
 
 
@@ -270,21 +273,27 @@ def judge(model: Crf, text: Column) -> Column:
 
     @F.pandas_udf(VERDICT)
     def tag(texts: pd.Series) -> pd.DataFrame:
-        whole = texts.fillna("").tolist()
         memory = Emissions(model)
-        p, lengths = marginals(model, whole, memory)
-        score = 1 / (1 + np.exp(-np.clip(summaries(p, lengths) @ model.doc, -30, 30)))
-        spans, hits, at = [], [], 0
-        for text, n in zip(whole, lengths.tolist(), strict=True):
-            toxic = np.flatnonzero(p[at : at + n] >= 0.5)
-            at += n
-            hits.append(len(toxic))
-            spans.append(_spans(text, toxic) if len(toxic) else "")
-        return pd.DataFrame({"score": score, "predicted": (score >= 0.5).astype("int32"), "spans": spans, "n_toxic": np.array(hits, "int32")})
+        blocks = [_tag(model, texts.iloc[i : i + AT_ONCE].fillna("").tolist(), memory) for i in range(0, max(1, len(texts)), AT_ONCE)]
+        return pd.concat(blocks, ignore_index=True)
 
     return tag(text)
 
 
+def _tag(model: Crf, texts: list[str], memory: Emissions) -> pd.DataFrame:
+    p, lengths = marginals(model, texts, memory)
+    score = 1 / (1 + np.exp(-np.clip(summaries(p, lengths) @ model.doc, -30, 30)))
+    spans, hits, at = [], [], 0
+    for text, n in zip(texts, lengths.tolist(), strict=True):
+        toxic = np.flatnonzero(p[at : at + n] >= 0.5)
+        at += n
+        hits.append(len(toxic))
+        spans.append(_spans(text, toxic) if len(toxic) else "")
+    return pd.DataFrame(
+        {"score": score, "predicted": (score >= 0.5).astype("int32"), "spans": spans, "n_toxic": np.array(hits, "int32")}
+    )
+
+
 def _spans(text: str, toxic: np.ndarray) -> str:
     """Neighbouring toxic tokens are one span."""
     places = [m.span() for m in TOKEN.finditer(text)]
