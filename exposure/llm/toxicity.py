@@ -20,8 +20,9 @@ TAG_TENTHS = 7
 # A feature speaks for toxicity if it stands in this many toxic documents and this share of its occurrences is toxic.
 SEEN, PURE = 6, 0.95
 WINDOW = 24
+FAINT = 0.1
 # Words whose emission a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # Texts that a task tags at once.
 AT_ONCE = 2048
@@ -107,9 +108,12 @@ def marginals(model: Crf, texts: Iterable[str], memory: Emissions) -> tuple[np.n
 
 
 def summaries(tags: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per document: constant, largest marginal, log of the expected number of toxic tokens, their share of the tokens."""
+    """Per document: constant, largest marginal, log of the expected number of toxic tokens, their share of the tokens.
+
+    Marginals below ``FAINT`` do not add up, or a long clean document would seem toxic by its length.
+    """
     ends = np.cumsum(lengths)
-    sums = np.r_[0.0, np.cumsum(tags)]
+    sums = np.r_[0.0, np.cumsum(np.where(tags >= FAINT, tags, 0.0))]
     total = sums[ends] - sums[ends - lengths]
     top = np.zeros(len(lengths))
     some = lengths > 0
@@ -130,6 +134,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
     return w
 
 
+def _log_chance(hits: int, misses: int, share: float) -> float:
+    """Log of the chance that a draw with this share of hits misses no oftener."""
+    n = hits + misses
+    terms = [
+        math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (n - k) * math.log(share) + k * math.log1p(-share)
+        for k in range(misses + 1)
+    ] if 0 < share < 1 else [0.0]
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def label_tokens(texts: list[str], toxic: np.ndarray) -> tuple[list[tuple[list[str], np.ndarray]], set[str]]:
     """Token labels from document labels: a token of a toxic document is toxic if one of its features stands almost only in
     toxic documents, counted by document and weighed by class size.
@@ -150,13 +165,10 @@ def label_tokens(texts: list[str], toxic: np.ndarray) -> tuple[list[tuple[list[s
             for before, word in zip(["", *words], words, strict=False):
                 for f in telling.intersection(features(word)):
                     after[f].add(before)
+    # so many features were looked at; with this level less than one harmless one passes by chance
+    level = math.log(0.5 / max(1, sum(c >= SEEN for c in counts[1].values())))
     share = n1 / (n1 + n0)
-    found = set()
-    for f, words in after.items():
-        # what random words of this frequency would do by chance is left out
-        total = len(words) + counts[0][f]
-        if len(words) >= SEEN and len(words) - total * share > 3.5 * math.sqrt(total * share * (1 - share)):
-            found.add(f)
+    found = {f for f, words in after.items() if len(words) >= SEEN and _log_chance(len(words), counts[0][f], share) < level}
     sequences = []
     for words, t in zip(documents, toxic, strict=True):
         sequences.append((words, np.array([bool(t) and not found.isdisjoint(features(w)) for w in words], np.int8)))
