@@ -12,7 +12,7 @@ import time
 
 from exposure.operators import board as B, feeds as FD, matching as M, notify as N, rollups as R
 from exposure.operators.advisories import extract_codes
-from exposure.plans.catalog.notifications import department_rows
+from exposure.plans.catalog.notifications import active
 from exposure.plans.demo import AS_OF, Views
 from exposure.plans.exposure_report import department_exposure
 from exposure.plans.matching_run import run_matching
@@ -40,7 +40,8 @@ def headline(v: Views) -> dict[str, "callable"]:
         "history_departments": lambda: R.history_departments(v.notification, v.asset, v.department),
         "board_view": lambda: B.board_view(
             v.advisory, v.codes, v.cve, v.match, v.asset, v.department, v.notification, v.comment, AS_OF, q="r1"),
-        "plan_notifications": lambda: N.plan_notifications(department_rows(v), v.advisory, v.notification),
+        "plan_notifications": lambda: N.plan_notifications(active(v), v.department, v.advisory, v.notification),
+        "message_lines": lambda: N.message_lines(active(v), v.cve),
     }
 
 

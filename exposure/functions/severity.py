@@ -52,6 +52,11 @@ def max_severity(severity: Column | str) -> Column:
 
 
 def score_or_null(score: Column | str) -> Column:
-    """A score of 0 or an empty field counts as missing."""
-    n = blank_to_null(strip(as_col(score).cast("string"))).try_cast("double")
+    """A score of 0 or an empty field counts as missing; kept with one decimal."""
+    n = score_number(score)
     return F.when(n != 0, n).try_cast("decimal(3,1)")
+
+
+def score_number(score: Column | str) -> Column:
+    """The score as it was given, not rounded."""
+    return blank_to_null(strip(as_col(score).cast("string"))).try_cast("double")

@@ -14,7 +14,7 @@ from exposure.functions.cve import canonical_cve_id, cve_year
 from exposure.functions.deadlines import parse_date_any
 from exposure.functions.nvd import cpe_version_rule, nvd_cpe_matches, nvd_cvss, nvd_description
 from exposure.functions.product import cpe_product, normalize_product
-from exposure.functions.severity import score_or_null, severity_from_any
+from exposure.functions.severity import score_number, severity_from_any
 from exposure.functions.text import as_col, blank_to_null, strip
 from exposure.functions.version import any_rule, parse_version_rule, rule_from_text
 from exposure.operators.advisories import unlock_advisories
@@ -27,10 +27,11 @@ PLACE = ("file_seq", "pos")
 
 
 # --- normalisation -------------------------------------------------------------------------------
-def normalize_feed(raw: DataFrame, aliases: Aliases | None = None) -> DataFrame:
+def normalize_feed(raw: DataFrame, aliases: Aliases | None = None, zero_is_missing: bool = True) -> DataFrame:
     """Raw text records to CVE records; rows without a usable id are dropped.
 
-    Other columns of ``raw`` (such as the place in the input) are kept.
+    Other columns of ``raw`` (such as the place in the input) are kept. The class comes from the score as given, before it is
+    rounded. A score of 0 is missing in JSON, where it is a number; in CSV, where it is text, it is kept (``zero_is_missing``).
     """
     have = set(raw.columns)
 
@@ -48,7 +49,9 @@ def normalize_feed(raw: DataFrame, aliases: Aliases | None = None) -> DataFrame:
     ).otherwise(rule_from_text(versions))
     cpe = field("cpe_list", "cpe")
     score = field("cvss_score", "cvss")
-    number = score_or_null(score)
+    given = score_number(score)
+    exact = F.when(given != 0, given) if zero_is_missing else given
+    number = exact.try_cast("decimal(3,1)")
     rest = [c for c in raw.columns if c not in RECORD_FIELDS]
     return (
         raw.select(
@@ -60,7 +63,7 @@ def normalize_feed(raw: DataFrame, aliases: Aliases | None = None) -> DataFrame:
             rule.alias("version_rule"),
             F.when(F.startswith(cpe, F.lit("[")), F.from_json(cpe, "array<string>"))
             .when(cpe.isNotNull(), F.array(cpe)).alias("cpe_list"),
-            severity_from_any(field("severity"), number).alias("severity"),
+            severity_from_any(field("severity"), exact).alias("severity"),
             number.alias("cvss_score"),
             field("description", "desc").alias("description"),
             parse_date_any(field("published_at", "published")).alias("published_at"),
@@ -211,7 +214,8 @@ def merge_modified_feed(
     local: DataFrame, modified: DataFrame, last_sync: dt.datetime, as_of: dt.datetime,
     last_sha256: str | None = None, sha256: str | None = None, max_stale_days: int = MAX_STALE_DAYS,
 ) -> DataFrame | None:
-    """Rows of every year that the changes touch, with the changes merged in; null when nothing changed.
+    """Rows of every year that the changes touch, with the changes merged in; null when nothing changed. A malformed id
+    refuses the whole feed.
 
     ``local``: ``cve_id, cve_year, item``; ``modified``: ``cve_id, item`` and its place. Only the touched
     years come out, ready for a dynamic partition overwrite.
@@ -219,7 +223,9 @@ def merge_modified_feed(
     check_fresh(last_sync, as_of, max_stale_days)
     if sha256 is not None and sha256 == last_sha256:
         return None
-    changes = last_wins(with_year(modified)).where("cve_year IS NOT NULL").select("cve_id", "cve_year", "item")
+    refused = F.raise_error(F.concat(F.lit("malformed id in the modified feed: "), F.coalesce("cve_id", F.lit("null")))).cast("int")
+    marked = last_wins(with_year(modified)).withColumn("cve_year", F.coalesce("cve_year", refused))
+    changes = marked.select("cve_id", "cve_year", "item")
     years = changes.select("cve_year").distinct()
     kept = local.join(years, "cve_year", "left_semi").join(changes, ["cve_year", "cve_id"], "left_anti")
     return kept.select("cve_id", "cve_year", "item").unionByName(changes)

@@ -12,78 +12,11 @@ from exposure.constants import (
     AUTO_DEPLOY_OWNER, CLOSED_ACKS, DEFAULT_CHANNELS, DELIVERED, OPEN_ACKS, SYSTEM_LABEL, TRACKED_STATUSES,
 )
 from exposure.functions.deadlines import d_day
-from exposure.functions.messages import idempotency_key, message_line, render_message
-from exposure.operators.matching import active_matches
+from exposure.functions.messages import idempotency_key, message_frame, message_line
 from exposure.operators.skew import first_per
 from exposure.operators.state import overlay
 
 GROUP = ["advisory_id", "department_id"]
-# A message names every match of its group. Groups beyond this many rows are written as several parts,
-# each covering a range of asset ids; their key is a hash over the hashes of those ranges.
-PART_ROWS = 20_000
-ID_RANGE = 16_384
-
-
-def department_rows(
-    matches: DataFrame, asset: DataFrame, cve: DataFrame, department: DataFrame
-) -> DataFrame:
-    """Active matches with everything a message line needs."""
-    severity = cve.select(F.col("cve_id").alias("cve_id_text"), "severity")
-    dept = department.select("department_id", F.col("name").alias("department"))
-    return (
-        active_matches(matches, asset)
-        .join(severity, "cve_id_text", "left")
-        .join(dept, "department_id", "left")
-        .withColumn("department", F.coalesce("department", F.col("department_id").cast("string")))
-    )
-
-
-def _first_seen_list(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Distinct values of a column per group in first-seen order (by code, then asset)."""
-    seen = F.min(F.struct("cve_id_text", "asset_id"))
-    values = rows.groupBy(*GROUP, value).agg(seen.alias("_at"))
-    ordered = F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v"))))
-    return values.groupBy(*GROUP).agg(F.transform(ordered, lambda x: x["v"]).alias(out))
-
-
-def group_sizes(rows: DataFrame) -> DataFrame:
-    """Rows of each (advisory, department) and whether they need more than one message part."""
-    return rows.groupBy(*GROUP).agg(
-        F.first("department").alias("department"), F.count("*").alias("asset_count")
-    )
-
-
-def asset_keys(rows: DataFrame, part_rows: int = PART_ROWS, id_range: int = ID_RANGE) -> DataFrame:
-    """Key and asset ids per group: SHA-256 of ``advisory:department:[sorted distinct asset ids]``.
-
-    For a group whose distinct assets exceed ``part_rows`` the list in that text is replaced by the hashes
-    of its id ranges, so no list of the whole group is built; ``asset_ids`` is null for such a group and
-    its ids stay in the match table.
-    """
-    ids = rows.select(*GROUP, "asset_id").distinct()
-    ranges = ids.groupBy(*GROUP, F.floor(F.col("asset_id") / id_range).alias("_range")).agg(
-        F.sort_array(F.collect_list("asset_id")).alias("_ids")
-    )
-    text = F.concat(F.lit("["), F.array_join("_ids", ", "), F.lit("]"))
-    sized = ranges.withColumns({"_n": F.size("_ids"), "_hash": F.sha2(text, 256)})
-    totals = sized.groupBy(*GROUP).agg(
-        F.sum("_n").alias("asset_total"),
-        F.array_sort(F.collect_list(F.struct("_range", "_hash"))).alias("_hashes"),
-    )
-    small = (
-        sized.join(totals.where(F.col("asset_total") <= part_rows).select(*GROUP), GROUP, "left_semi")
-        .groupBy(*GROUP)
-        .agg(F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct("_range", "_ids"))), lambda x: x["_ids"])
-        ).alias("asset_ids"))
-    )
-    listed = F.when(
-        F.col("asset_ids").isNotNull(), F.concat(F.lit("["), F.array_join("asset_ids", ", "), F.lit("]"))
-    ).otherwise(F.array_join(F.transform("_hashes", lambda x: x["_hash"]), ","))
-    prefix = F.concat_ws(":", F.col("advisory_id").cast("string"), F.col("department_id").cast("string"))
-    return totals.join(small, GROUP, "left").select(
-        *GROUP, "asset_ids", "asset_total", F.sha2(F.concat(prefix, F.lit(":"), listed), 256).alias("idempotency_key")
-    )
 
 
 def _line() -> Column:
@@ -95,93 +28,91 @@ def _line() -> Column:
     )
 
 
-def _owner(sentinel: str) -> Column:
-    return F.when(~F.col("owner_name").isin("", sentinel), F.col("owner_name"))
+def message_lines(active: DataFrame, cve: DataFrame) -> DataFrame:
+    """Lines of the messages as a keyed table: the group, the place (code, asset), the line.
 
+    ``active`` are active matches with their asset. No group is brought together for this.
+    """
+    severity = cve.select(F.col("cve_id").alias("cve_id_text"), "severity")
+    return active.join(severity, "cve_id_text", "left").select(*GROUP, "cve_id_text", "asset_id", _line().alias("line"))
 
-def _ordinary_groups(rows: DataFrame, sentinel: str) -> DataFrame:
-    """Groups whose rows fit one message: everything comes from one ordered list per group."""
-    entry = F.struct("cve_id_text", "asset_id", _owner(sentinel).alias("owner"), _line().alias("line"))
-    g = rows.groupBy(*GROUP).agg(
-        F.first("department").alias("department"), F.array_sort(F.collect_list(entry)).alias("_rows")
-    )
-    ids = F.array_sort(F.array_distinct(F.transform("_rows", lambda r: r["asset_id"])))
-    return g.select(
-        *GROUP, "department", F.lit(0).cast("long").alias("part"),
-        F.size("_rows").cast("long").alias("asset_count"),
-        F.array_distinct(F.array_compact(F.transform("_rows", lambda r: r["owner"]))).alias("_owners"),
-        F.array_distinct(F.transform("_rows", lambda r: r["cve_id_text"])).alias("cves"),
-        F.transform("_rows", lambda r: r["line"]).alias("_lines"),
-        ids.alias("asset_ids"), F.size(ids).cast("long").alias("asset_total"),
-    ).withColumn("idempotency_key", idempotency_key("advisory_id", "department_id", "asset_ids"))
 
+def message_groups(active: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER) -> DataFrame:
+    """One row per (advisory, department) of any size: rows, owners and codes in first-seen order, assets, key.
 
-def _large_groups(
-    rows: DataFrame, sizes: DataFrame, sentinel: str, part_rows: int, id_range: int
-) -> DataFrame:
-    """Groups that come in several parts, one per range of asset ids; no list holds a whole group."""
-    part = F.floor(F.col("asset_id") / id_range).cast("long")
-    lines = rows.groupBy(*GROUP, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("cve_id_text", "asset_id", _line().alias("line")))).alias("_rows")
-    )
-    owned = rows.withColumn("_owner", _owner(sentinel)).where("_owner IS NOT NULL")
-    return (
-        lines.join(sizes, GROUP)
-        .join(_first_seen_list(owned, "_owner", "_owners"), GROUP, "left")
-        .join(_first_seen_list(rows, "cve_id_text", "cves"), GROUP)
-        .join(asset_keys(rows, part_rows, id_range), GROUP)
-        .select(
-            *GROUP, "department", "part", "asset_count",
-            F.coalesce("_owners", F.array().cast("array<string>")).alias("_owners"), "cves",
-            F.transform("_rows", lambda r: r["line"]).alias("_lines"), "asset_ids", "asset_total", "idempotency_key",
-        )
-    )
+    The key is the SHA-256 of ``advisory:department:[sorted distinct asset ids]`` for every group, so the ids, eight bytes
+    an asset, do come together. Everything else is reduced before: rows are first aggregated by owner, which spreads a
+    large department over its owners, and then by group.
+    """
+    by_owner = active.groupBy(*GROUP, "owner_name").agg(
+        F.count("*").alias("_n"),
+        F.min(F.struct("cve_id_text", "asset_id")).alias("_at"),
+        F.collect_set("asset_id").alias("_ids"),
+        F.collect_set("cve_id_text").alias("_cves"),
+    )
+    named = F.when(~F.col("owner_name").isin("", sentinel), F.struct("_at", F.col("owner_name").alias("owner")))
+    groups = by_owner.groupBy(*GROUP).agg(
+        F.sum("_n").alias("asset_count"),
+        F.array_sort(F.collect_list(named)).alias("_owners"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_cves")))).alias("cves"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("asset_ids"),
+    )
+    owners = F.array_join(F.transform("_owners", lambda o: o["owner"]), ", ")
+    return groups.select(
+        *GROUP, "asset_count", F.coalesce(F.nullif(owners, F.lit("")), F.lit(SYSTEM_LABEL)).alias("owners"), "cves",
+        "asset_ids", F.size("asset_ids").cast("long").alias("asset_total"),
+    ).withColumn("idempotency_key", idempotency_key("advisory_id", "department_id", "asset_ids"))
 
 
 def messages(
-    rows: DataFrame, advisory: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER,
-    part_rows: int = PART_ROWS, id_range: int = ID_RANGE,
+    active: DataFrame, department: DataFrame, advisory: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER
 ) -> DataFrame:
-    """Message of every (advisory, department), with its codes, assets and key.
-
-    Lines follow (code, asset); ``part`` 0 holds all lines of an ordinary group. A group of more than
-    ``part_rows`` rows comes as several parts by asset id range, each a complete message with its own lines
-    and the count of the whole group.
-    """
-    sizes = group_sizes(rows)
-    large = sizes.where(F.col("asset_count") > part_rows)
-    groups = _ordinary_groups(rows.join(large, GROUP, "left_anti"), sentinel).unionByName(
-        _large_groups(rows.join(large, GROUP, "left_semi"), large, sentinel, part_rows, id_range)
-    )
-    owners = F.coalesce(F.nullif(F.array_join("_owners", ", "), F.lit("")), F.lit(SYSTEM_LABEL))
-    text = render_message(
+    """Header of every message: group, department, codes, assets, key, and the text before and after the lines."""
+    dept = department.select("department_id", F.col("name").alias("department"))
+    head, foot = message_frame(
         F.col("title"), F.col("doc_no"), F.col("source_org"), F.col("due_at"), F.col("department"), F.col("owners"),
-        F.col("asset_count"), F.col("_lines"),
+        F.col("asset_count"),
     )
     return (
-        groups.withColumn("owners", owners)
+        message_groups(active, sentinel)
+        .join(dept, "department_id", "left")
+        .withColumn("department", F.coalesce("department", F.col("department_id").cast("string")))
         .join(advisory.select("advisory_id", "title", "doc_no", "source_org", "due_at"), "advisory_id")
         .select(
-            *GROUP, "department", "part", "asset_count", "owners", "cves", "asset_ids", "asset_total",
-            "idempotency_key", text.alias("message"),
+            *GROUP, "department", "asset_count", "owners", "cves", "asset_ids", "asset_total", "idempotency_key",
+            head.alias("message_head"), foot.alias("message_foot"),
         )
     )
 
 
+def with_text(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """The complete text of each header's message, for delivery: a text names every line of its group."""
+    own = lines.join(headers.select(*GROUP).distinct(), GROUP, "left_semi")
+    listed = own.groupBy(*GROUP).agg(
+        F.array_sort(F.collect_list(F.struct("cve_id_text", "asset_id", "line"))).alias("_lines")
+    )
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    return headers.join(listed, GROUP, "left").withColumn(
+        "message", F.concat("message_head", F.coalesce(text, F.lit("")), "message_foot")
+    ).drop("_lines")
+
+
 def notification_preview(
-    rows: DataFrame, advisory: DataFrame, notifications: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER
+    active: DataFrame, department: DataFrame, advisory: DataFrame, notifications: DataFrame,
+    sentinel: str = AUTO_DEPLOY_OWNER,
 ) -> DataFrame:
-    """Per (advisory, department): rows, owners, codes in first-seen order, message, already sent?"""
+    """Per (advisory, department): rows, owners, codes in first-seen order, message frame, already sent?"""
     sent = (
         notifications.where(F.col("status").isin(*DELIVERED)).select(*GROUP).distinct()
         .withColumn("_sent", F.lit(True))
     )
     return (
-        messages(rows, advisory, sentinel)
+        messages(active, department, advisory, sentinel)
         .join(sent, GROUP, "left")
         .select(
-            *GROUP, "department", "part", "asset_count", "owners",
-            F.size("cves").alias("issue_count"), F.array_join("cves", ", ").alias("cve_list"), "message",
+            *GROUP, "department", "asset_count", "owners",
+            F.size("cves").alias("issue_count"), F.array_join("cves", ", ").alias("cve_list"),
+            "message_head", "message_foot",
             F.array(*[F.lit(c) for c in DEFAULT_CHANNELS]).alias("default_channels"),
             F.coalesce("_sent", F.lit(False)).alias("sent"),
         )
@@ -205,28 +136,44 @@ def all_sent(groups: DataFrame, notifications: DataFrame) -> DataFrame:
 
 
 def plan_notifications(
-    rows: DataFrame, advisory: DataFrame, notifications: DataFrame,
+    active: DataFrame, department: DataFrame, advisory: DataFrame, notifications: DataFrame,
     targets: DataFrame | None = None, channels: Sequence[str] = DEFAULT_CHANNELS,
 ) -> DataFrame:
-    """What to send: one row per target department with its key, assets, message and action.
+    """What to send: one row per target department with its key, assets, message frame and action.
 
     ``action``: ``skip`` when the same key was already delivered, ``retry`` when it failed before, else
-    ``send``. ``targets`` (advisory_id, department_id[, channels]) narrows the departments.
+    ``send``. ``targets`` (advisory_id, department_id[, channels]) narrows the departments. :func:`with_text` adds the
+    complete texts.
     """
     default = F.array(*[F.lit(c) for c in channels])
-    plan = messages(rows, advisory)
     if targets is not None:
-        cols = [*GROUP, "channels"] if "channels" in targets.columns else GROUP
-        plan = plan.join(targets.select(*cols), GROUP)
-    if "channels" not in plan.columns:
+        active = active.join(targets.select(*GROUP).distinct(), GROUP, "left_semi")
+    plan = messages(active, department, advisory)
+    if targets is not None and "channels" in targets.columns:
+        plan = plan.join(targets.select(*GROUP, "channels"), GROUP)
+    else:
         plan = plan.withColumn("channels", F.lit(None).cast("array<string>"))
     known = first_per(notifications, ["idempotency_key"], F.col("notification_id")).select(
         "idempotency_key", F.col("notification_id").alias("existing_id"), F.col("status").alias("_status")
     )
     action = F.when(F.col("_status").isin(*DELIVERED), "skip").when(F.col("_status").isNotNull(), "retry").otherwise("send")
     return plan.join(known, "idempotency_key", "left").select(
-        *GROUP, "department", "part", "idempotency_key", "asset_ids", "asset_total",
-        F.coalesce("channels", default).alias("channels"), "message", action.alias("action"), "existing_id",
+        *GROUP, "department", "idempotency_key", "asset_ids", "asset_total",
+        F.coalesce("channels", default).alias("channels"), "message_head", "message_foot", action.alias("action"), "existing_id",
+    )
+
+
+def planned_rows(plan: DataFrame, last_id: int) -> DataFrame:
+    """Notification rows of a plan (with its texts): a new id above ``last_id`` for ``send``, the failed row's id for ``retry``.
+
+    New ids are unique but not gapless; write the rows before they are used, as ids are given anew on every run.
+    """
+    todo = plan.where("action <> 'skip'")
+    fresh = F.monotonically_increasing_id() + (last_id + 1)
+    return todo.select(
+        F.coalesce("existing_id", fresh).alias("notification_id"), *GROUP, "channels", "message", "asset_ids",
+        "idempotency_key", F.lit("PENDING").alias("status"), F.lit("NONE").alias("ack_status"),
+        F.lit(0).alias("reminder_count"),
     )
 
 
@@ -245,10 +192,18 @@ def apply_delivery(notifications: DataFrame, results: DataFrame, at: Column) ->
     )
 
 
-def finish_sending(advisory: DataFrame, groups: DataFrame, notifications: DataFrame) -> DataFrame:
-    """Advisories with targets become NOTIFYING, or COMPLETED once every department was sent to."""
-    state = sent_targets(groups, notifications).select("advisory_id", "all_sent")
-    status = F.when(F.col("all_sent"), "COMPLETED").when(F.col("all_sent").isNotNull(), "NOTIFYING")
+def finish_sending(
+    advisory: DataFrame, groups: DataFrame, notifications: DataFrame, targets: DataFrame
+) -> DataFrame:
+    """Advisories of this run become COMPLETED once every matched department was sent to, else NOTIFYING.
+
+    ``targets`` (advisory_id, ..) are what this run sent, ``groups`` all matched departments. Advisories without a target
+    and archived ones keep their status.
+    """
+    sent = targets.select("advisory_id").distinct()
+    state = sent_targets(groups.join(sent, "advisory_id", "left_semi"), notifications).select("advisory_id", "all_sent")
+    moved = F.col("all_sent").isNotNull() & (F.col("status") != "ARCHIVED")
+    status = F.when(moved & F.col("all_sent"), "COMPLETED").when(moved, "NOTIFYING")
     return advisory.join(state, "advisory_id", "left").withColumn(
         "status", F.coalesce(status, F.col("status"))
     ).select(*advisory.columns)

@@ -33,7 +33,8 @@ def sort_notifications(df: DataFrame, page: int = 1, size: int | None = None) ->
 
 
 def sort_audit(df: DataFrame, page: int = 1, size: int | None = 50) -> DataFrame:
-    size = None if size is None else min(size, MAX_AUDIT_PAGE)
+    if size is not None and size > MAX_AUDIT_PAGE:
+        raise ValueError(f"a page of the audit trail has at most {MAX_AUDIT_PAGE} rows")
     return sort_by(df, F.col("created_at").desc(), F.col("audit_id").desc(), page=page, size=size)
 
 
@@ -72,8 +73,8 @@ def sort_hits_first(department: DataFrame, q: str, name: str = "name") -> DataFr
 
 
 def sort_year_feed(df: DataFrame) -> DataFrame:
-    """By id inside each year; years are kept apart, nothing is ordered across them."""
-    return df.repartition("cve_year").sortWithinPartitions("cve_year", "cve_id")
+    """By year and id; a large year lies over several tasks, each with a range of its ids."""
+    return df.repartitionByRange("cve_year", "cve_id").sortWithinPartitions("cve_year", "cve_id")
 
 
 # --- searches ------------------------------------------------------------------------------------

@@ -136,8 +136,7 @@ def _(v: Views) -> DataFrame:
 
 
 @query("merge_modified_feed", """
-    WITH changed AS (SELECT cve_id, CAST(substr(cve_id, 5, 4) AS INTEGER) AS cve_year, description FROM x_record_last
-            WHERE CAST(substr(cve_id, 5, 4) AS INTEGER) < 2013),
+    WITH changed AS (SELECT cve_id, CAST(substr(cve_id, 5, 4) AS INTEGER) AS cve_year, description FROM x_record_last),
         years AS (SELECT DISTINCT cve_year FROM changed)
     SELECT cve_year, count(*) AS entries, count(*) FILTER (fresh) AS changed, min(item) AS first_item FROM (
         SELECT cve_id, cve_year, description AS item, true AS fresh FROM changed
@@ -146,7 +145,7 @@ def _(v: Views) -> DataFrame:
     GROUP BY cve_year""")
 def _(v: Views) -> DataFrame:
     local = with_year(v.cve).select("cve_id", "cve_year", F.col("description").alias("item"))
-    modified = with_year(_records(v)).where("cve_year < 2013").select("cve_id", F.col("description").alias("item"), "file_seq", "pos")
+    modified = _records(v).select("cve_id", F.col("description").alias("item"), "file_seq", "pos")
     now = dt.datetime(2024, 5, 5)
     merged = merge_modified_feed(local, modified, now - dt.timedelta(days=2), now, "a", "b")
     return merged.groupBy("cve_year").agg(

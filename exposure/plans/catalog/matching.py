@@ -108,12 +108,13 @@ def _(v: Views) -> DataFrame:
 
 def _stored(v: Views) -> DataFrame:
     """Matches kept from earlier runs: some of today's, and some whose advisory changed since."""
-    old = v.match.where("asset_id % 2 = 0")
-    return old.withColumn("advisory_id", F.expr("CASE WHEN asset_id % 8 = 0 THEN advisory_id + 100000000 ELSE advisory_id END"))
+    return v.match.withColumn(
+        "advisory_id", F.expr("CASE WHEN asset_id % 2 = 1 OR asset_id % 8 = 0 THEN advisory_id + 100000000 ELSE advisory_id END")
+    )
 
 
-_STORED = """(SELECT * REPLACE (CASE WHEN asset_id % 8 = 0 THEN advisory_id + 100000000 ELSE advisory_id END AS advisory_id)
-    FROM x_match WHERE asset_id % 2 = 0)"""
+_STORED = """(SELECT * REPLACE (CASE WHEN asset_id % 2 = 1 OR asset_id % 8 = 0 THEN advisory_id + 100000000 ELSE advisory_id END AS advisory_id)
+    FROM x_match)"""
 
 
 @query("merge_matches", f"""

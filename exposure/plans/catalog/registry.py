@@ -38,7 +38,8 @@ def _with_views(sql: str) -> str:
             if name not in needed and name in VIEWS:
                 needed.add(name)
                 todo.append(VIEWS[name])
-    ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in VIEWS if n in needed]
+    # materialised: several of them are used more than once and are dear
+    ctes = [f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in VIEWS if n in needed]
     body = sql.strip()
     if not ctes:
         return body

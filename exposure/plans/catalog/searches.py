@@ -36,7 +36,7 @@ def _(v: Views) -> DataFrame:
 
 @query("sort_audit_page", "SELECT audit_id FROM x_audit ORDER BY created_at DESC, audit_id DESC LIMIT 200 OFFSET 200")
 def _(v: Views) -> DataFrame:
-    return S.sort_audit(v.audit, page=2, size=500).select("audit_id")
+    return S.sort_audit(v.audit, page=2, size=200).select("audit_id")
 
 
 @query("sort_history_due", f"SELECT advisory_id, d_day FROM {HISTORY_SQL} ORDER BY d_day NULLS LAST, advisory_id LIMIT 30")

@@ -74,22 +74,22 @@ def test_whole_flow(spark, tmp_path):
     matches = store(again["matches"], "m")
 
     # plan, deliver, plan again: nothing is sent twice
-    rows = N.department_rows(matches, asset, cve, dept)
+    rows = M.active_matches(matches, asset)
     none = spark.createDataFrame([], NOTE)
-    plan = store(N.plan_notifications(rows, advisory, none), "p")
+    plan = store(N.with_text(N.plan_notifications(rows, dept, advisory, none), N.message_lines(rows, cve)), "p")
     assert {r.department_id: r.action for r in plan.collect()} == {7: "send", 8: "send"}
-    notes = none.unionByName(plan.select(
-        F.col("department_id").alias("notification_id"), "advisory_id", "department_id", "channels", "asset_ids", "idempotency_key",
-        F.lit("PENDING").alias("status"), F.lit("NONE").alias("ack_status"), F.lit(0).alias("reminder_count")), allowMissingColumns=True)
-    notes = N.apply_delivery(notes, plan.select(F.col("department_id").alias("notification_id"), F.lit(True).alias("ok")), at)
+    sending = store(N.planned_rows(plan, 0), "s")
+    notes = none.unionByName(sending.select(*[c for c in sending.columns if c in none.columns]), allowMissingColumns=True)
+    notes = N.apply_delivery(notes, sending.select("notification_id", F.lit(True).alias("ok")), at)
     notes = store(notes, "n")
-    advisory = store(N.finish_sending(advisory, rows, notes), "a")
+    advisory = store(N.finish_sending(advisory, rows, notes, sending), "a")
     assert advisory.first().status == "COMPLETED"
-    assert {r.action for r in N.plan_notifications(rows, advisory, notes).collect()} == {"skip"}
+    assert {r.action for r in N.plan_notifications(rows, dept, advisory, notes).collect()} == {"skip"}
     assert N.due_reminders(advisory, notes, AS_OF).count() == 2
 
     # replies close it
-    replies = spark.createDataFrame([(7, "DONE", "ok", "kim", 1), (8, "UNABLE", "no patch", "park", 2)], "notification_id bigint, ack_status string, note string, by string, seq int").withColumn("at", at)
+    ids = {r.department_id: r.notification_id for r in notes.collect()}
+    replies = spark.createDataFrame([(ids[7], "DONE", "ok", "kim", 1), (ids[8], "UNABLE", "no patch", "park", 2)], "notification_id bigint, ack_status string, note string, by string, seq int").withColumn("at", at)
     notes = store(A.apply_acks(notes, replies), "n")
     r = R.remediation(advisory, notes, AS_OF).first()
     assert (r.dept_total, r.done, r.unable, r.done_rate, r.responded_rate, r.sla_status, r.d_day, r.asset_total, r.asset_done) == (2, 1, 1, 50, 100, "DONE", 2, 2, 1)

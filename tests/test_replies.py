@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from exposure.operators.matching import active_matches
 from exposure.operators import acks as A, board as B, notify as N, rollups as R
 from exposure.operators.state import apply_changes, publish, refused_creates
 
@@ -169,19 +170,43 @@ def test_notification_plan(spark):
     m = matches(spark, (1, "C2", 1, "MATCHED", "NONE"), (1, "C1", 1, "MATCHED", "NONE"), (1, "C1", 2, "MATCHED", "NONE"), (1, "C1", 3, "MATCHED", "NONE"))
     dept = spark.createDataFrame([(7, "roads"), (8, "parks")], "department_id bigint, name string")
     cve = spark.createDataFrame([("C1", "HIGH"), ("C2", "LOW")], "cve_id string, severity string")
-    rows = N.department_rows(m, a, cve, dept)
+    rows = active_matches(m, a)
+    lines = N.message_lines(rows, cve)
     none = notes(spark).where("false")
-    plan = {r.department_id: r for r in N.plan_notifications(rows, adv, none).collect()}
+    plan = {r.department_id: r for r in N.with_text(N.plan_notifications(rows, dept, adv, none), lines).collect()}
     assert plan[7].idempotency_key == hashlib.sha256(b"1:7:[1, 2]").hexdigest()
     assert (plan[7].asset_ids, plan[7].action, plan[7].channels) == ([1, 2], "send", ["MAIL", "WEB_UI"])
     assert "자산 3대" in plan[7].message and "(담당 kim)" in plan[7].message and "조치기한: 2024-02-01" in plan[7].message
     assert "(담당 시스템)" in plan[8].message
     assert plan[7].message.index("PC-1 (Edge 1) — C1 HIGH") < plan[7].message.index("PC-1 (Edge 1) — C2 LOW")
     sent = spark.createDataFrame([(5, "FAILED", plan[7].idempotency_key), (6, "ACKED", plan[8].idempotency_key)], "notification_id bigint, status string, idempotency_key string")
-    again = {r.department_id: (r.action, r.existing_id) for r in N.plan_notifications(rows, adv, sent).collect()}
+    again = {r.department_id: (r.action, r.existing_id) for r in N.plan_notifications(rows, dept, adv, sent).collect()}
     assert again == {7: ("retry", 5), 8: ("skip", 6)}
-    big = N.messages(rows, adv, part_rows=2, id_range=2).orderBy("department_id", "part").collect()
-    assert [(r.department_id, r.part, r.message.count("· PC-"), r.asset_count) for r in big] == [(7, 0, 2, 3), (7, 1, 1, 3), (8, 0, 1, 1)]
+    planned = N.planned_rows(N.with_text(N.plan_notifications(rows, dept, adv, sent), lines), 6).collect()
+    assert [(r.notification_id, r.department_id, r.asset_ids, r.status) for r in planned] == [(5, 7, [1, 2], "PENDING")]
+    fresh = N.planned_rows(N.with_text(N.plan_notifications(rows, dept, adv, none), lines), 6).collect()
+    assert len({r.notification_id for r in fresh}) == 2 and min(r.notification_id for r in fresh) > 6
+
+
+def test_a_large_group_is_one_message_with_one_key(spark):
+    """More assets than any earlier limit: still one header row, one key by the same formula, every line."""
+    n = 25_000
+    adv = advisories(spark, (1, "MATCHED", "2024-02-01", None), (2, "ARCHIVED", None, None), (3, "MATCHED", None, None))
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("advisory_id"), F.lit(7).cast("long").alias("department_id"), F.lit("C1").alias("cve_id_text"),
+        F.col("id").alias("asset_id"), F.concat(F.lit("o"), F.col("id") % 3).alias("owner_name"), F.lit("PC").alias("asset_no"),
+        F.lit("Edge").alias("product_raw"), F.lit("edge").alias("product_key"), F.lit("1").alias("version_raw"), F.lit("1").alias("version_norm"))
+    dept = spark.createDataFrame([(7, "roads")], "department_id bigint, name string")
+    cve = spark.createDataFrame([("C1", "HIGH")], "cve_id string, severity string")
+    (r,) = N.with_text(N.plan_notifications(rows, dept, adv, notes(spark).where("false")), N.message_lines(rows, cve)).collect()
+    ids = ", ".join(map(str, range(n)))
+    assert r.idempotency_key == hashlib.sha256(f"1:7:[{ids}]".encode()).hexdigest() and len(r.asset_ids) == r.asset_total == n
+    assert r.message.count("· PC (Edge 1) — C1 HIGH") == n and "(담당 o0, o1, o2)" in r.message
+    sent = notes(spark, (1, 1, 7, "NONE", None, "SENT"))
+    groups = rows.select("advisory_id", "department_id").unionByName(spark.createDataFrame([(2, 7), (3, 7)], "advisory_id bigint, department_id bigint"))
+    targets = spark.createDataFrame([(1,), (2,)], "advisory_id bigint")
+    done = {x.advisory_id: x.status for x in N.finish_sending(adv, groups, sent, targets).collect()}
+    assert done == {1: "COMPLETED", 2: "ARCHIVED", 3: "MATCHED"}
 
 
 def test_delivery_and_reminders(spark):
