@@ -1,7 +1,7 @@
 """Registered queries and their SQL twins."""
 
 from exposure.plans.catalog import (  # noqa: F401
-    feeds, functions, ledgers, matching, notifications, replies, rollups, searches, streams, text,
+    feeds, files, functions, ledgers, matching, notifications, replies, rollups, searches, streams, text,
 )
 from exposure.plans.catalog.registry import oracle_sql, queries
 

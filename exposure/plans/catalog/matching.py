@@ -140,15 +140,30 @@ def _(v: Views) -> DataFrame:
     return match_run_stats(merge_matches(_stored(v), found), v.asset)
 
 
+_PASSED = """SELECT f.* FROM x_found f JOIN x_gate g USING (advisory_id) JOIN x_advisory s USING (advisory_id)
+    WHERE g.can_proceed AND s.status <> 'EXTRACTING'"""
+
+
+@query("run_matching_rows", f"""
+    SELECT coalesce(o.advisory_id, n.advisory_id) AS advisory_id, coalesce(o.cve_id_text, n.cve_id_text) AS cve_id_text,
+        coalesce(o.asset_id, n.asset_id) AS asset_id, coalesce(n.candidate, o.candidate) AS candidate,
+        coalesce(o.status, 'MATCHED') AS status, coalesce(o.ack_status, 'NONE') AS ack_status
+    FROM {_STORED} o FULL JOIN ({_PASSED}) n
+        ON o.advisory_id = n.advisory_id AND o.cve_id_text = n.cve_id_text AND o.asset_id = n.asset_id""")
+def _(v: Views) -> DataFrame:
+    r = run_matching(v.advisory, v.codes, v.cve, v.asset, _stored(v), v.exclusion_rule)
+    return r["matches"].select("advisory_id", "cve_id_text", "asset_id", "reason.candidate", "status", "ack_status")
+
+
 @query("run_matching", """
     SELECT a.advisory_id, CASE WHEN g.can_proceed AND a.status IN ('EXTRACTED', 'NEEDS_CVE_UPDATE') THEN 'MATCHED' ELSE a.status END AS status,
         coalesce(m.n, 0) AS matches
     FROM x_advisory a JOIN x_gate g USING (advisory_id) LEFT JOIN (
-        SELECT f.advisory_id, count(*) AS n FROM x_found f JOIN x_gate g USING (advisory_id)
-        JOIN x_advisory s USING (advisory_id) WHERE g.can_proceed AND s.status <> 'EXTRACTING' GROUP BY 1) m USING (advisory_id)
+        SELECT advisory_id, count(*) AS n FROM (SELECT advisory_id, cve_id_text, asset_id FROM ("""+_PASSED+""")
+            UNION SELECT advisory_id, cve_id_text, asset_id FROM """+_STORED+""") GROUP BY 1) m USING (advisory_id)
 """)
 def _(v: Views) -> DataFrame:
-    r = run_matching(v.advisory, v.codes, v.cve, v.asset, v.match.where(F.lit(False)), v.exclusion_rule)
+    r = run_matching(v.advisory, v.codes, v.cve, v.asset, _stored(v), v.exclusion_rule)
     n = r["matches"].groupBy("advisory_id").agg(F.count("*").alias("matches"))
     return r["advisory"].join(n, "advisory_id", "left").select("advisory_id", "status", F.coalesce("matches", F.lit(0)).alias("matches"))
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposure.schemas import GRID, MERGED_RANGE
+from exposure.sources.files import open_stream, paths_frame, qualified
 
 
 def read_advisory_docs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -40,10 +47,19 @@ def read_merged_ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def grid_from_csv(spark: SparkSession, path: str, import_id: int, sheet: str = "Sheet1") -> DataFrame:
-    """A ledger saved as CSV, header lines included, as grid rows. Row numbers follow the file."""
-    raw = spark.read.option("multiLine", True).option("escape", '"').csv(path)
-    cells = F.array(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in raw.columns])
-    return raw.select(
-        F.lit(import_id).cast("bigint").alias("import_id"), F.lit(sheet).alias("sheet"),
-        F.monotonically_increasing_id().cast("int").alias("row_no"), cells.alias("cells"),
-    )
+    """A ledger saved as CSV, header lines included, as grid rows of any width.
+
+    ``row_no`` counts the records of the file from 0, blank lines included, so line numbers and generated asset numbers follow
+    the sheet. A ledger is one upload of limited size and is read by one task, record by record.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                with open_stream(name) as f:
+                    numbered = enumerate(csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline="")))
+                    while some := list(islice(numbered, 1000)):
+                        yield pd.DataFrame({"row_no": [n for n, _ in some], "cells": [[c or None for c in r] for _, r in some]})
+
+    cells = paths_frame(spark, [qualified(spark, path)]).mapInPandas(rows, "row_no int, cells array<string>")
+    return cells.select(F.lit(import_id).cast("bigint").alias("import_id"), F.lit(sheet).alias("sheet"), "row_no", "cells")

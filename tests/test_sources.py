@@ -56,8 +56,8 @@ def test_mixed_layout_is_refused(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text('{"vulnerabilities":[' + good + ', { "cve" : {"id":"CVE-2024-9999"}}]}')
     with pytest.raises(Exception, match="mixed layout"):
-        feeds.read_nvd_feed(spark, str(path)).collect()
-    assert feeds.read_nvd_feed(spark, str(path), compact=False).count() == 2
+        feeds.read_nvd_feed(spark, str(path), compact=True).collect()
+    assert feeds.read_nvd_feed(spark, str(path)).count() == 2
 
 
 def test_every_format_through_one_reader(spark, tmp_path):
@@ -243,3 +243,78 @@ def test_documents(spark, tmp_path):
     (tmp_path / "l.csv").write_text("자산번호,부서\nA-1,\nA-2,x\n")
     g = grid_from_csv(spark, str(tmp_path / "l.csv"), 3).orderBy("row_no").collect()
     assert [(r.row_no, r.cells) for r in g] == [(0, ["자산번호", "부서"]), (1, ["A-1", None]), (2, ["A-2", "x"])]
+
+
+def test_ledger_rows_of_any_width(spark, tmp_path):
+    from exposure.sources.documents import grid_from_csv
+
+    (tmp_path / "l.csv").write_text('Ledger 2024\n\nNo,Dept,OS\n1,"a\nb",Edge\n')
+    g = grid_from_csv(spark, str(tmp_path / "l.csv"), 3).orderBy("row_no").collect()
+    assert [(r.row_no, r.cells) for r in g] == [(0, ["Ledger 2024"]), (1, []), (2, ["No", "Dept", "OS"]), (3, ["1", "a\nb", "Edge"])]
+
+
+def test_damaged_feeds_are_refused_whole(spark, tmp_path):
+    whole = json.dumps({"vulnerabilities": nvd_items(3)}, separators=(",", ":"))
+    internal = json.dumps({"cves": [{"cve_id": f"CVE-2024-000{i}"} for i in range(3)]})
+    texts = {
+        "cut_nvd": whole[:-30], "cut_internal": internal[:-12], "broken_record": whole.replace('"CVE-2024-00001"', '"CVE-2024-00001', 1),
+        "two": internal + internal, "empty": "", "nested_only": json.dumps({"x": {"vulnerabilities": []}}),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        with pytest.raises(ValueError, match="unsupported"):
+            feeds.read_feed(spark, str(tmp_path / f"{name}.json"))
+    with pytest.raises(Exception, match="damaged record|mixed layout"):
+        feeds.read_nvd_feed(spark, str(tmp_path / "cut_nvd.json"), compact=True).collect()
+    with pytest.raises(Exception):
+        feeds.read_internal_feed(spark, str(tmp_path / "cut_internal.json")).collect()
+
+
+def test_the_top_level_key_decides_however_late_it_comes(spark, tmp_path):
+    late = write(tmp_path / "late.json", {"pad": "x" * (3 << 20), "vulnerabilities": nvd_items(2)})
+    nested = write(tmp_path / "nested.json", {"meta": {"vulnerabilities": [1]}, "cves": [{"cve_id": "CVE-2024-7777", "cvss": 8.96}]})
+    kinds = {r.path: (r.kind, r.compact) for r in feeds.sniff_feeds(spark, [late, nested]).collect()}
+    assert kinds == {late: ("nvd", True), nested: ("internal", False)}
+    got = {r.cve_id: r.severity for r in feeds.read_feed(spark, [late, nested]).collect()}
+    assert got == {"CVE-2024-00000": "CRITICAL", "CVE-2024-00001": "CRITICAL", "CVE-2024-7777": "HIGH"}
+
+
+def test_pieces_do_not_change_the_shape():
+    import io
+
+    body = json.dumps({'a " \\ {': ["}", {"x": "]"}], "cves": [{"cve_id": 'q"}{\\', "n": [{}]}, {"d": {}}]}).encode()
+    for piece in (1, 2, 7, 64, 1 << 20):
+        assert files.json_shape(io.BytesIO(body), piece) == ("internal", False)
+        assert files.json_shape(io.BytesIO(body[:-1]), piece) == ("unknown", False)
+
+
+def test_scores(spark):
+    rows = spark.createDataFrame([("CVE-2024-0001", "0"), ("CVE-2024-0002", "8.96"), ("CVE-2024-0003", "100"), ("CVE-2024-0004", "")], "cve_id string, cvss string")
+
+    def classes(**options):
+        return [r.severity for r in normalize_feed(rows, **options).orderBy("cve_id").collect()]
+
+    assert classes() == ["MEDIUM", "HIGH", "CRITICAL", "MEDIUM"]
+    assert classes(zero_is_missing=False) == ["LOW", "HIGH", "CRITICAL", "MEDIUM"]
+
+
+def test_malformed_ids_refuse_the_feed(spark):
+    now = dt.datetime(2024, 5, 20)
+    local = with_year(spark.createDataFrame([("CVE-2020-0001", "a")], "cve_id string, item string"))
+    mod = spark.createDataFrame([("CVE-20-1", "x", 0, (0, 1))], "cve_id string, item string, file_seq int, pos struct<block:bigint,row:bigint>")
+    with pytest.raises(Exception, match="malformed id"):
+        merge_modified_feed(local, mod, now, now).collect()
+
+
+def test_snapshot_log_hides_no_other_error(spark, tmp_path):
+    (tmp_path / "t" / "log").mkdir(parents=True)
+    (tmp_path / "t" / "log" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        sinks.current_version(spark, str(tmp_path / "t"))
+
+
+def test_audit_pages_are_not_cut(spark):
+    from exposure.operators.search import sort_audit
+
+    with pytest.raises(ValueError, match="at most 200"):
+        sort_audit(spark.range(1), size=500)
