@@ -140,8 +140,13 @@ def board_view(
     hide_done: bool = True,
 ) -> DataFrame:
     """Board list, newest published first; for a department, limited to what concerns it."""
-    shown = board_matches(matches, asset, department, department_id)
     listed = published(advisory)
+    # everything below is about published advisories only, so the large tables are reduced to them first
+    ids = listed.select("advisory_id")
+    matches, advisory_cve, notifications, comments = (
+        t.join(ids, "advisory_id", "left_semi") for t in (matches, advisory_cve, notifications, comments)
+    )
+    shown = board_matches(matches, asset, department, department_id)
     if department_id is not None:
         relevant = relevant_advisories(notifications, matches, asset).where(F.col("department_id") == department_id)
         listed = listed.join(relevant, "advisory_id", "left_semi")

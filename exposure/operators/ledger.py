@@ -290,7 +290,8 @@ def commit_assets(
     """Load mapped ledger rows: next ``asset`` and ``department`` tables, ``warnings`` and the mapped ``rows``.
 
     Keys are asset number and department name. ``mode='replace'`` starts from an empty asset table. The last
-    row of an asset number wins, and the earlier ones are reported.
+    row of an asset number wins, and the earlier ones are reported. Where the tables have ``department_id`` and ``asset_id``,
+    new rows get one (see :func:`with_keys`); write the results before they are used, as new ids are given on every run.
     """
     rows = with_issues(map_rows(body, mapping), department, create_departments)
     good = loadable(rows, on_warning)
@@ -304,6 +305,8 @@ def commit_assets(
     base = asset.where(F.lit(False)) if mode == "replace" else asset
     next_department = department
     if created is not None:
+        if "department_id" in department.columns:
+            created = _new_ids(created, department, "department_id")
         next_department = department.unionByName(
             created.withColumn("is_active", F.lit(True)) if "is_active" in department.columns else created,
             allowMissingColumns=True,
@@ -316,6 +319,28 @@ def commit_assets(
     }
 
 
+def _new_ids(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Ids above those of ``table``, unique but not gapless."""
+    last = table.agg(F.max(key)).first()[0] or 0
+    return rows.withColumn(key, (F.monotonically_increasing_id() + (last + 1)).cast(table.schema[key].dataType))
+
+
+def with_keys(asset: DataFrame, department: DataFrame) -> DataFrame:
+    """A loaded asset table with ``asset_id`` and ``department_id``, ready for matching.
+
+    Assets that have an id keep it, others get a new one; the department's id follows from its name, which is unique.
+    ``department`` is the stored table that :func:`commit_assets` returned.
+    """
+    named = department.select(F.col("name").alias("department"), F.col("department_id").alias("_department_id"))
+    rows = asset.join(named, "department", "left")
+    old = F.col("department_id") if "department_id" in asset.columns else F.lit(None).cast("bigint")
+    rows = rows.withColumn("department_id", F.coalesce("_department_id", old)).drop("_department_id")
+    if "asset_id" not in asset.columns:
+        rows = rows.withColumn("asset_id", F.lit(None).cast("bigint"))
+    last = rows.agg(F.max("asset_id")).first()[0] or 0
+    return rows.withColumn("asset_id", F.coalesce("asset_id", F.monotonically_increasing_id() + (last + 1)))
+
+
 def saved_mapping(mappings: DataFrame, name: str) -> dict[str, object]:
     """A saved column mapping by its name, ready for :func:`map_rows`.
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from exposure.functions.version import NO, SURE, decide, normalize_version, rule_with_keys, version_sort_key
 from exposure.operators.skew import first_per, hot_keys, sliced_join
 from exposure.operators.state import overlay, upsert
+from exposure.session import store
 
 MATCH_KEY = ["advisory_id", "cve_id_text", "asset_id"]
-# Each product's distinct versions are spread over this many slices when rules are judged.
-RULE_SLICES = 16
+# Pairs of rule and version that one slice of a product judges; products with more are cut.
+PAIRS_PER_SLICE = 2_000_000
 
 
 # --- codes and gate ------------------------------------------------------------------------------
@@ -52,26 +53,50 @@ def gate(advisory: DataFrame, advisory_cve: DataFrame) -> DataFrame:
 
 
 # --- core join -----------------------------------------------------------------------------------
-def rule_verdicts(rules: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Judge every distinct rule against every distinct asset version of the same product.
+def rule_verdicts(rules: DataFrame, profiles: DataFrame, pairs: int = PAIRS_PER_SLICE) -> DataFrame:
+    """Judge distinct rules against distinct asset versions of the same product; only pairs that match come out.
 
-    Both sides hold distinct values only, so the rule logic runs once per (rule, version) rather than once
-    per (CVE, asset). Only pairs that match come out.
+    Both sides hold distinct values only, so the rule logic runs once per (rule, version) rather than once per (CVE, asset).
+    A list of versions can only match a version it names, or one without text: those rules meet their versions by an equi-join on
+    product and version text. The other kinds match whole ranges, so most of their pairs are results; a product's versions
+    are cut into slices by the number of its pairs.
     """
     # the rule is prepared below the explode, once per rule
     prepared = rules.select("product_key", "version_rule", rule_with_keys(F.col("version_rule")).alias("r"))
-    judged_rules = prepared.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(RULE_SLICES - 1))))
     versions = profiles.select(
         "product_key", "v_norm", "v_raw",
         version_sort_key("v_norm").alias("k_norm"), version_sort_key("v_raw").alias("k_raw"),
-        F.pmod(F.xxhash64("v_norm", "v_raw"), F.lit(RULE_SLICES)).cast("int").alias("_slice"),
     )
+    named = F.coalesce(F.col("r.kind") == "enum", F.lit(False))
+
+    texts = F.array_compact(F.array_distinct(F.concat(F.coalesce("r.values", F.array().cast("array<string>")), F.array(F.lit("")))))
+    listed = prepared.where(named).withColumn("_text", F.explode(texts))
+    own = F.array_compact(F.array_distinct(F.array(F.lower("v_norm"), F.lower("v_raw"))))
+    by_text = versions.withColumn("_text", F.explode(own))
+    # a rule and a version may meet by both texts of the version
+    met = listed.join(by_text, ["product_key", "_text"]).drop("_text").dropDuplicates(
+        ["product_key", "version_rule", "v_norm", "v_raw"]
+    )
+
+    ranges = prepared.where(~named)
+    rule_n = ranges.groupBy("product_key").agg(F.count("*").alias("_rules"))
+    version_n = versions.groupBy("product_key").agg(F.count("*").alias("_versions"))
+    cut = rule_n.join(version_n, "product_key").select(
+        "product_key", F.ceil(F.col("_rules") * F.col("_versions") / pairs).cast("int").alias("_slices")
+    ).where("_slices > 1")
+    n = F.coalesce("_slices", F.lit(1))
+    rule_side = ranges.join(cut, "product_key", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), n - 1)))
+    version_side = versions.join(cut, "product_key", "left").withColumn(
+        "_slice", F.pmod(F.xxhash64("v_norm", "v_raw"), n).cast("int")
+    )
+    ranged = rule_side.drop("_slices").join(version_side.drop("_slices"), ["product_key", "_slice"]).drop("_slice")
+
     by_norm = decide(F.col("v_norm"), F.col("k_norm"), F.col("r"))
     by_raw = decide(F.col("v_raw"), F.col("k_raw"), F.col("r"))
     # either text may match, and the match is sure if either is sure
     verdict = F.when((by_norm == SURE) | (by_raw == SURE), SURE).otherwise(F.greatest(by_norm, by_raw))
     return (
-        judged_rules.join(versions, ["product_key", "_slice"])
+        met.unionByName(ranged)
         .withColumn("verdict", verdict)
         .where(F.col("verdict") != NO)
         .select("product_key", "version_rule", "v_norm", "v_raw", (F.col("verdict") != SURE).alias("candidate"))
@@ -84,8 +109,8 @@ def match_assets(advisory_cve: DataFrame, cve: DataFrame, asset: DataFrame) -> D
     1. mentions per code and assets per distinct (product, version) are counted first;
     2. rules are judged on those distinct values (:func:`rule_verdicts`);
     3. the verdicts are expanded to assets, then to advisories. Both steps are plain equi-joins that emit
-       result rows only; keys that hold a large share of the rows are cut into slices, using the counts of
-       step 1.
+       result rows only; keys that hold a large share of the rows, or very many, are cut into slices, using the counts
+       of step 1: profiles by their assets, CVEs by their mentions and by the assets they affect.
     """
     codes = advisory_cve.where("lookup_status = 'FOUND'").select("advisory_id", "cve_id_text")
     mentions = codes.groupBy("cve_id_text").agg(F.count("*").alias("n"))
@@ -102,7 +127,8 @@ def match_assets(advisory_cve: DataFrame, cve: DataFrame, asset: DataFrame) -> D
     profiles = live.groupBy(*profile).agg(F.count("*").alias("n"))
     rules = named.select("product_key", "version_rule").distinct()
 
-    affected = named.join(rule_verdicts(rules, profiles), ["product_key", "version_rule"])
+    # counted and then joined: written once, as the verdicts are the dear part
+    affected = store(named.join(rule_verdicts(rules, profiles), ["product_key", "version_rule"]), "affected")
     exposed = sliced_join(live, affected, profile, F.col("asset_id"), hot_keys(profiles, profile)).select(
         "cve_id_text", "asset_id", "department_id",
         F.struct(
@@ -112,7 +138,13 @@ def match_assets(advisory_cve: DataFrame, cve: DataFrame, asset: DataFrame) -> D
         ).alias("reason"),
     )
     hot_codes = hot_keys(mentions, ["cve_id_text"])
-    return sliced_join(codes, exposed, ["cve_id_text"], F.col("advisory_id"), hot_codes).select(
+    reach = affected.join(profiles, profile).groupBy("cve_id_text").agg(F.sum("n").alias("n"))
+    hot_reach = hot_keys(reach, ["cve_id_text"], share=1.0)
+    if hot_reach.isEmpty():  # a choice of plan only: no CVE reaches more assets than a slice holds
+        hot_reach = None
+    return sliced_join(
+        codes, exposed, ["cve_id_text"], F.col("advisory_id"), hot_codes, F.col("asset_id"), hot_reach
+    ).select(
         *MATCH_KEY, "department_id", "reason"
     )
 

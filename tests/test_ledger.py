@@ -123,3 +123,19 @@ def test_saved_mapping(spark):
     assert (specs["department"].index, specs["product_key"].mode, specs["owner_name"].part) == (1, "product", 1)
     with pytest.raises(ValueError, match="no mapping"):
         L.saved_mapping(rows, "other")
+
+
+def test_loaded_ledgers_have_keys(spark):
+    from exposure.session import store
+
+    dept = spark.createDataFrame([(3, "D1")], "department_id bigint, name string")
+    stored = spark.createDataFrame([], ASSET).withColumns({"asset_id": F.lit(None).cast("bigint"), "department_id": F.lit(None).cast("bigint")})
+    stored = stored.unionByName(spark.createDataFrame([("A", 9, 3)], "asset_no string, asset_id bigint, department_id bigint"), allowMissingColumns=True)
+    header = spark.createDataFrame([(1, "S", 0)], "import_id bigint, sheet string, header_row int")
+    out = L.commit_assets(L.body_rows(lines(spark), header), MAP, stored, dept)
+    department = store(out["department"], "d")
+    ids = {r.name: r.department_id for r in department.collect()}
+    assert ids["D1"] == 3 and ids["D9"] > 3
+    got = {r.asset_no: r for r in store(L.with_keys(out["asset"], department), "a").collect()}
+    assert got["A"].asset_id == 9 and len({r.asset_id for r in got.values()}) == len(got) and min(r.asset_id for r in got.values()) == 9
+    assert {n: got[n].department_id for n in ("A", "D", "E")} == {"A": 3, "D": ids["D9"], "E": 3}
