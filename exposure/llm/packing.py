@@ -18,9 +18,9 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers; the memory is emptied when it is full (some 200 bytes a word).
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 # Bytes of text that a task works on at a time; a single longer text is still one piece of work.
-AT_ONCE = 8 << 20
+AT_ONCE = 6 << 20
 _WORDS: dict[tuple[str, int], "_Words"] = {}
 
 
@@ -59,8 +59,8 @@ class _Words:
         parts = list(map(self.known.get, words))
         new = {w for w, p in zip(words, parts, strict=True) if p is None}
         if new:
-            self.learn(new)
-            parts = [self.known[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            found = self.learn(new)
+            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
         sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
         first = np.cumsum(sizes) - sizes
         counts = sizes[at]
@@ -69,9 +69,11 @@ class _Words:
         of_text = cut.offsets.to_numpy()
         return np.frombuffer(b"".join(parts), "<u4")[places], np.r_[0, ends][of_text[1:] - of_text[0]]
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: set[str]) -> dict[str, bytes]:
         """A word of letters and perhaps a full stop or comma has the ids of both, as the tokenizer cuts there. The letters of
-        many words are encoded at once; other words go one by one. Case is the tokenizer's matter but for plain A-Z."""
+        many words are encoded at once; other words go one by one. Case is the tokenizer's matter but for plain A-Z.
+
+        Only letters and the other words are remembered, not what is put together from them."""
         known, plain, odd = self.known, {}, []
         for word in new:
             core, end = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
@@ -92,8 +94,8 @@ class _Words:
                 odd += some
         for word, coded in zip(odd, self.encode(odd, add_special_tokens=False), strict=True):
             known[word] = np.array(coded.ids, "<u4").tobytes()
-        for word, (core, end) in plain.items():
-            known[word] = known[core] + known[end] if end else known[core]
+        found = {word: known[core] + known[end] if end else known[core] for word, (core, end) in plain.items()}
+        return found | {word: known[word] for word in new if word not in plain}
 
 
 def tokenize(texts: pa.Array, path: str) -> Iterator[np.ndarray]:

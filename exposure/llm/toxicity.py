@@ -22,10 +22,10 @@ SEEN, PURE = 6, 0.95
 WINDOW = 24
 FAINT = 0.1
 # Words whose emission a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 # Texts that a task tags at once.
-AT_ONCE = 2048
+AT_ONCE = 1024
 
 TOKEN = re.compile(r"\w+")
 
