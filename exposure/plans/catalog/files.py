@@ -35,11 +35,31 @@ def _documents(rows: DataFrame, path: str, head: str, tail: str) -> list[str]:
     whole = body.join(first, "file_seq").withColumn(
         "value", F.when(F.col("at") == F.col("_first"), F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
     ).drop("_first").unionByName(edges)
-    whole.repartition(5, "file_seq").sortWithinPartitions("file_seq", "at").select("file_seq", "value").write.partitionBy("file_seq").text(path)
+    tasks = max(5, seqs.count())
+    # by a hash of its own: dealt by file_seq alike, Spark would take the join's deal for it, and a join changed while it runs
+    # would leave a document in several files
+    whole.repartition(tasks, F.xxhash64("file_seq")).sortWithinPartitions("file_seq", "at").select("file_seq", "value").write.partitionBy("file_seq").text(path)
     listed = files.list_files(rows.sparkSession, path).select("path").collect()  # one file per document
     return sorted((r["path"] for r in listed), key=lambda p: int(p.split("file_seq=")[1].split("/")[0]))
 
 
+# Rows of a written file; more rows make more files.
+_FILE_ROWS = 20_000
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows dealt over several files for each of the given ones, and their number: file ``file_seq * number + part``."""
+    seqs, total = rows.agg(F.count_distinct("file_seq"), F.count("*")).first()
+    n = max(1, -(-total // (_FILE_ROWS * max(1, seqs))))
+    return rows.withColumn("file_seq", F.expr(f"CAST(file_seq * {n} + pmod(xxhash64(pos.row), {n}) AS INT)")), n
+
+
+def _given(records: DataFrame, paths: list[str], n: int) -> DataFrame:
+    """Records with the ``file_seq`` that their rows had before they were dealt; a part without rows has no file."""
+    seqs = [int(p.split("file_seq=")[1].split("/")[0]) // n for p in paths]
+    return records.withColumn("file_seq", F.get(F.array(*[F.lit(s) for s in seqs]), F.col("file_seq")))
+
+
 _RECORD_SQL = """SELECT cve_id, product_key, kind, severity, cvss_score, description, CAST(published_at AS VARCHAR) AS published_at, source,
     file_seq FROM x_record"""
 
@@ -53,10 +73,10 @@ def _record_columns(df: DataFrame) -> DataFrame:
 
 @query("read_internal_feed", _RECORD_SQL)
 def _(v: Views) -> DataFrame:
-    rows = v.feed_record
+    rows, n = _parts(v.feed_record)
     item = F.to_json(F.struct(*[c for c in rows.columns if c not in ("file_seq", "pos")])).alias("item")
     paths = _documents(rows.select("file_seq", "pos", item), _folder(v), '{"cves":[', "]}")
-    return _record_columns(feeds.read_feed(v.spark, paths))
+    return _record_columns(_given(feeds.read_feed(v.spark, paths), paths, n))
 
 
 @query("read_csv_feed", _RECORD_SQL.replace("severity,", "CASE WHEN severity = 'MEDIUM' AND s_zero THEN 'LOW' ELSE severity END AS severity,")
@@ -64,13 +84,13 @@ def _(v: Views) -> DataFrame:
     SELECT x.*, CAST(trunc(o.o_totalprice) AS BIGINT) % 11 = 0 AND left(o.o_orderpriority, 1) NOT IN ('1', '2', '5') AS by_score,
         CAST(trunc(o.o_totalprice) AS BIGINT) % 11 = 0 AS s_zero FROM x_record x JOIN orders o ON o.o_orderkey = x.pos)"""))
 def _(v: Views) -> DataFrame:
-    folder, rows = _folder(v), v.feed_record
+    folder, (rows, n) = _folder(v), _parts(v.feed_record)
     columns = [c for c in rows.columns if c not in ("file_seq", "pos")]
-    rows.select("file_seq", *columns).repartition(5, "file_seq").write.partitionBy("file_seq").option("header", True).option(
+    rows.select("file_seq", *columns).repartition(5 * n, "file_seq").write.partitionBy("file_seq").option("header", True).option(
         "escape", '"').csv(folder)
     listed = [r["path"] for r in files.list_files(v.spark, folder).select("path").collect()]
     paths = sorted(listed, key=lambda p: int(p.split("file_seq=")[1].split("/")[0]))
-    return _record_columns(feeds.read_feed(v.spark, paths))
+    return _record_columns(_given(feeds.read_feed(v.spark, paths), paths, n))
 
 
 def _nvd(v: Views) -> DataFrame:

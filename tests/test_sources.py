@@ -318,3 +318,39 @@ def test_audit_pages_are_not_cut(spark):
 
     with pytest.raises(ValueError, match="at most 200"):
         sort_audit(spark.range(1), size=500)
+
+
+def test_records_of_a_document_leave_their_task_one_by_one(spark, tmp_path):
+    """A document is no value of its own: records come as rows, are dealt to several tasks, and damage at its end is an error."""
+    n = 5000
+    doc = {"meta": [{"cve_id": "no"}], "note": "cves", "cves": [None, *[{"cve_id": f"CVE-2024-{i:05d}", "versions": ["}", i]} for i in range(n)]]}
+    path = write(tmp_path / "i.json", doc, compact=False)
+    assert "posexplode" not in feeds.read_internal_feed(spark, path)._jdf.queryExecution().toString()
+    spread = feeds.read_internal_feed(spark, path)
+    got = spread.orderBy("pos").collect()
+    assert [r.cve_id for r in got] == [f"CVE-2024-{i:05d}" for i in range(n)] and got[7].versions == '["}",7]'
+    body = (tmp_path / "i.json").read_text()
+    for cut in (body[:-1], body + "x", body.replace('"cves": [', '"cves": [1, '), body.replace('"cves": [', '"other": ['), body.replace("{", "", 1)):
+        (tmp_path / "d.json").write_text(cut)
+        with pytest.raises(Exception, match="damaged JSON"):
+            feeds.read_internal_feed(spark, str(tmp_path / "d.json")).count()
+
+
+def test_compact_documents_are_checked_in_pieces(spark, tmp_path):
+    whole = json.dumps({"a": [{}], "vulnerabilities": nvd_items(300), "totalResults": 300}, separators=(",", ":"))
+    cuts = {"good": whole, "end": whole[:-1], "comma": whole.replace('}},{"cve"', '}}{"cve"', 1), "value": whole.replace(":9.8,", ":9.8.1,", 1),
+            "loose": whole.replace('},{"cve":', '}, { "cve" :', 1), "head": whole.replace('"a":[{}]', '"a":[{]', 1)}
+    paths = {}
+    for name, text in cuts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        paths[name] = str(tmp_path / f"{name}.json")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [r.file_seq for r in feeds._whole(spark, list(paths.values())).collect()] == [0]
+        kinds = {r.path: (r.kind, r.compact) for r in feeds.sniff_feeds(spark, list(paths.values())).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert kinds[paths["good"]] == ("nvd", True) and kinds[paths["loose"]] == ("nvd", False)
+    assert kinds[paths["end"]] == kinds[paths["value"]] == ("unknown", False)
+    assert feeds.read_feed(spark, [paths["good"], paths["end"], paths["loose"]], strict=False).count() == 600
