@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from exposure.constants import (
     AUTO_DEPLOY_OWNER, CLOSED_ACKS, DEFAULT_CHANNELS, DELIVERED, OPEN_ACKS, SYSTEM_LABEL, TRACKED_STATUSES,
 )
 from exposure.functions.deadlines import d_day
-from exposure.functions.messages import idempotency_key, message_frame, message_line
+from exposure.functions.messages import message_frame, message_line
 from exposure.operators.skew import first_per
 from exposure.operators.state import overlay
 
@@ -37,49 +39,105 @@ def message_lines(active: DataFrame, cve: DataFrame) -> DataFrame:
     return active.join(severity, "cve_id_text", "left").select(*GROUP, "cve_id_text", "asset_id", _line().alias("line"))
 
 
-def message_groups(active: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER) -> DataFrame:
-    """One row per (advisory, department) of any size: rows, owners and codes in first-seen order, assets, key.
+def message_assets(active: DataFrame) -> DataFrame:
+    """Assets of the messages as a keyed table: the group, the asset, each once. No group is brought together for this."""
+    return active.where("asset_id IS NOT NULL").select(*GROUP, "asset_id").distinct()
+
+
+def message_keys(active: DataFrame) -> DataFrame:
+    """Per (advisory, department) the number of assets and the key, SHA-256 of ``advisory:department:[sorted distinct asset ids]``.
 
-    The key is the SHA-256 of ``advisory:department:[sorted distinct asset ids]`` for every group, so the ids, eight bytes
-    an asset, do come together. Everything else is reduced before: rows are first aggregated by owner, which spreads a
-    large department over its owners, and then by group.
+    A digest needs its text in order, not at once: the ids of a group are sorted within a task, which may spill, and pass
+    through the digest one batch after the other. No list of a group is built, whatever its size.
+    """
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, digest, n = None, None, 0
+
+        def row() -> pd.DataFrame:
+            digest.update(b"]")
+            return pd.DataFrame([(*group, n, digest.hexdigest())], columns=[*GROUP, "asset_total", "idempotency_key"])
+
+        for batch in batches:
+            keys = [tuple(None if pd.isna(k) else k for k in pair) for pair in zip(batch[GROUP[0]], batch[GROUP[1]])]
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                if digest is None or keys[start] != group:
+                    if digest is not None:
+                        yield row()
+                    group, digest, n = keys[start], hashlib.sha256(), 0
+                    digest.update((":".join([k for k in group if k is not None] + ["["])).encode())
+                ids = batch["id"].iloc[start:end].dropna().tolist()
+                if ids:
+                    digest.update(((", " if n else "") + ", ".join(ids)).encode())
+                    n += len(ids)
+        if digest is not None:
+            yield row()
+
+    text = [F.col(c).cast("string").alias(c) for c in GROUP]
+    ids = active.select(*GROUP, "asset_id").distinct().repartition(*GROUP).sortWithinPartitions(*GROUP, "asset_id")
+    found = ids.select(*text, F.col("asset_id").cast("string").alias("id")).mapInPandas(
+        digests, "advisory_id string, department_id string, asset_total bigint, idempotency_key string"
+    )
+    return found.select(*[F.col(c).cast(active.schema[c].dataType).alias(c) for c in GROUP], "asset_total", "idempotency_key")
+
+
+def _by_group(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both sides of a group; a missing department is a group, too."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in GROUP})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]
+    return left.join(right, same[0] & same[1]).drop(*[f"_{c}" for c in GROUP])
+
+
+def message_headers(active: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER) -> DataFrame:
+    """One row per (advisory, department) of any size: rows, owners and codes in first-seen order, number of assets, key.
+
+    Only the distinct owners and codes of a group come together, after a first aggregation by owner and by code.
+    The assets are the rows of :func:`message_assets`.
     """
     by_owner = active.groupBy(*GROUP, "owner_name").agg(
-        F.count("*").alias("_n"),
-        F.min(F.struct("cve_id_text", "asset_id")).alias("_at"),
-        F.collect_set("asset_id").alias("_ids"),
-        F.collect_set("cve_id_text").alias("_cves"),
+        F.count("*").alias("_n"), F.min(F.struct("cve_id_text", "asset_id")).alias("_at")
     )
     named = F.when(~F.col("owner_name").isin("", sentinel), F.struct("_at", F.col("owner_name").alias("owner")))
     groups = by_owner.groupBy(*GROUP).agg(
-        F.sum("_n").alias("asset_count"),
-        F.array_sort(F.collect_list(named)).alias("_owners"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_cves")))).alias("cves"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("asset_ids"),
+        F.sum("_n").alias("asset_count"), F.array_sort(F.collect_list(named)).alias("_owners")
     )
+    codes = active.select(*GROUP, "cve_id_text").distinct().groupBy(*GROUP).agg(F.array_sort(F.collect_list("cve_id_text")).alias("cves"))
     owners = F.array_join(F.transform("_owners", lambda o: o["owner"]), ", ")
-    return groups.select(
+    return _by_group(_by_group(groups, codes), message_keys(active)).select(
         *GROUP, "asset_count", F.coalesce(F.nullif(owners, F.lit("")), F.lit(SYSTEM_LABEL)).alias("owners"), "cves",
-        "asset_ids", F.size("asset_ids").cast("long").alias("asset_total"),
-    ).withColumn("idempotency_key", idempotency_key("advisory_id", "department_id", "asset_ids"))
+        "asset_total", "idempotency_key",
+    )
+
+
+def with_assets(groups: DataFrame, active: DataFrame) -> DataFrame:
+    """The rows with the sorted asset ids of their group in one value, for where a list is asked for: eight bytes an asset,
+    and at most 2 GB a row."""
+    listed = active.groupBy(*GROUP).agg(F.array_sort(F.collect_set("asset_id")).alias("asset_ids"))
+    return _by_group(groups, listed)
+
+
+def message_groups(active: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER) -> DataFrame:
+    """:func:`message_headers` with the asset ids as a list."""
+    return with_assets(message_headers(active, sentinel), active)
 
 
 def messages(
     active: DataFrame, department: DataFrame, advisory: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER
 ) -> DataFrame:
-    """Header of every message: group, department, codes, assets, key, and the text before and after the lines."""
+    """Header of every message: group, department, codes, number of assets, key, and the text before and after the lines."""
     dept = department.select("department_id", F.col("name").alias("department"))
     head, foot = message_frame(
         F.col("title"), F.col("doc_no"), F.col("source_org"), F.col("due_at"), F.col("department"), F.col("owners"),
         F.col("asset_count"),
     )
     return (
-        message_groups(active, sentinel)
+        message_headers(active, sentinel)
         .join(dept, "department_id", "left")
         .withColumn("department", F.coalesce("department", F.col("department_id").cast("string")))
         .join(advisory.select("advisory_id", "title", "doc_no", "source_org", "due_at"), "advisory_id")
         .select(
-            *GROUP, "department", "asset_count", "owners", "cves", "asset_ids", "asset_total", "idempotency_key",
+            *GROUP, "department", "asset_count", "owners", "cves", "asset_total", "idempotency_key",
             head.alias("message_head"), foot.alias("message_foot"),
         )
     )
@@ -137,18 +195,20 @@ def all_sent(groups: DataFrame, notifications: DataFrame) -> DataFrame:
 
 def plan_notifications(
     active: DataFrame, department: DataFrame, advisory: DataFrame, notifications: DataFrame,
-    targets: DataFrame | None = None, channels: Sequence[str] = DEFAULT_CHANNELS,
+    targets: DataFrame | None = None, channels: Sequence[str] = DEFAULT_CHANNELS, listed: bool = True,
 ) -> DataFrame:
     """What to send: one row per target department with its key, assets, message frame and action.
 
     ``action``: ``skip`` when the same key was already delivered, ``retry`` when it failed before, else
     ``send``. ``targets`` (advisory_id, department_id[, channels]) narrows the departments. :func:`with_text` adds the
-    complete texts.
+    complete texts. Without ``listed`` the asset ids are left to :func:`message_assets`, and no value grows with a group.
     """
     default = F.array(*[F.lit(c) for c in channels])
     if targets is not None:
         active = active.join(targets.select(*GROUP).distinct(), GROUP, "left_semi")
     plan = messages(active, department, advisory)
+    if listed:
+        plan = with_assets(plan, active)
     if targets is not None and "channels" in targets.columns:
         plan = plan.join(targets.select(*GROUP, "channels"), GROUP)
     else:
@@ -158,25 +218,32 @@ def plan_notifications(
     )
     action = F.when(F.col("_status").isin(*DELIVERED), "skip").when(F.col("_status").isNotNull(), "retry").otherwise("send")
     return plan.join(known, "idempotency_key", "left").select(
-        *GROUP, "department", "idempotency_key", "asset_ids", "asset_total",
+        *GROUP, "department", "idempotency_key", *(["asset_ids"] if listed else []), "asset_total",
         F.coalesce("channels", default).alias("channels"), "message_head", "message_foot", action.alias("action"), "existing_id",
     )
 
 
 def planned_rows(plan: DataFrame, last_id: int) -> DataFrame:
-    """Notification rows of a plan (with its texts): a new id above ``last_id`` for ``send``, the failed row's id for ``retry``.
+    """Notification rows of a plan, with its texts and lists where it has them: a new id above ``last_id`` for ``send``, the failed row's id for ``retry``.
 
     New ids are unique but not gapless; write the rows before they are used, as ids are given anew on every run.
     """
     todo = plan.where("action <> 'skip'")
     fresh = F.monotonically_increasing_id() + (last_id + 1)
     return todo.select(
-        F.coalesce("existing_id", fresh).alias("notification_id"), *GROUP, "channels", "message", "asset_ids",
+        F.coalesce("existing_id", fresh).alias("notification_id"), *GROUP, "channels",
+        *[c for c in ("message", "asset_ids") if c in plan.columns],
         "idempotency_key", F.lit("PENDING").alias("status"), F.lit("NONE").alias("ack_status"),
         F.lit(0).alias("reminder_count"),
     )
 
 
+def notification_assets(notifications: DataFrame, active: DataFrame) -> DataFrame:
+    """Assets of written notification rows as a keyed table: ``notification_id, idempotency_key, asset_id``."""
+    rows = _by_group(message_assets(active), notifications.select(*GROUP, "notification_id", "idempotency_key"))
+    return rows.select("notification_id", "idempotency_key", "asset_id")
+
+
 def delivery_outcome(results: DataFrame) -> DataFrame:
     """Channel results to one status per notification: SENT when every channel worked."""
     return results.groupBy("notification_id").agg(

@@ -209,6 +209,31 @@ def test_a_large_group_is_one_message_with_one_key(spark):
     assert done == {1: "COMPLETED", 2: "ARCHIVED", 3: "MATCHED"}
 
 
+def test_keys_and_asset_rows_without_a_list_of_the_group(spark, rows):
+    """The same key from ids that pass in batches; the plan and its rows hold no value that grows with the group."""
+    n = 3000
+    active = spark.range(n).select(
+        F.lit(1).cast("long").alias("advisory_id"), F.expr("CASE WHEN id % 10 < 8 THEN 7 WHEN id % 10 = 8 THEN 8 END").cast("long").alias("department_id"),
+        F.concat(F.lit("C"), F.col("id") % 2).alias("cve_id_text"), (F.col("id") * 7 % n - 5).alias("asset_id"), F.lit("o").alias("owner_name"))
+    groups = {d: sorted((i * 7 % n) - 5 for i in range(n) if (7 if i % 10 < 8 else 8 if i % 10 == 8 else None) == d) for d in (7, 8, None)}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r.department_id: (r.asset_total, r.idempotency_key) for r in N.message_keys(active.unionByName(active)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {d: (len(ids), hashlib.sha256(f"1:{'' if d is None else f'{d}:'}[{', '.join(map(str, ids))}]".encode()).hexdigest()) for d, ids in groups.items()}
+    adv = advisories(spark, (1, "MATCHED", "2024-02-01", None))
+    dept = spark.createDataFrame([(7, "roads")], "department_id bigint, name string")
+    known = spark.createDataFrame([], "notification_id bigint, status string, idempotency_key string")
+    plan = N.plan_notifications(active, dept, adv, known, listed=False)
+    assert "asset_ids" not in plan.columns and "message" not in plan.columns
+    sent = N.planned_rows(plan, 0).localCheckpoint()
+    assets = N.notification_assets(sent, active)
+    own = {r.idempotency_key: r.department_id for r in sent.collect()}
+    assert sorted((own[r.idempotency_key] or 0, r.asset_id) for r in assets.collect()) == sorted((d or 0, i) for d, ids in groups.items() for i in ids)
+
+
 def test_delivery_and_reminders(spark):
     n = notes(spark, (1, 1, 7, "NONE"), (2, 1, 8, "DONE"), (3, 2, 7, "UNABLE"))
     res = spark.createDataFrame([(1, True), (1, True), (2, True), (2, False)], "notification_id bigint, ok boolean")
