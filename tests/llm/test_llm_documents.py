@@ -426,3 +426,10 @@ def test_held_out_documents_are_told_apart(labelled, docs, none):
     assert len(odd) == docs.count() and all(0 <= r.score <= 1 and r.predicted == 0 for r in odd)
     assert toxicity.keep_clean(docs, model).columns == docs.columns
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
+
+
+def test_parts_of_thousands_of_zeros_are_read():
+    """Python refuses int() of more than 4300 digits, even if all are zeros."""
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}7.1.1.1 {zeros}256.1.1.1") == [("ip", 0, 5007)]
+    assert pii.base_spans(zeros + ".1.1.1") == [("ip", 0, 5006)]
