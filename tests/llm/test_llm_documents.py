@@ -433,3 +433,13 @@ def test_parts_of_thousands_of_zeros_are_read():
     zeros = "0" * 5000
     assert pii.base_spans(f"{zeros}7.1.1.1 {zeros}256.1.1.1") == [("ip", 0, 5007)]
     assert pii.base_spans(zeros + ".1.1.1") == [("ip", 0, 5006)]
+
+
+@pytest.mark.parametrize(("kind", "one", "other"), [
+    ("email", "ann.lee@city.example", "ann.lee [at] city.example"), ("ip", "10.1.20.30", "10-1-20:30"),
+    ("card", "4111 1111 1111 1111", "4111.1111/1111.1111"), ("phone", "82 2 555 0123", "82-2-555-0123"),
+])
+def test_spellings_of_a_span_look_alike(kind, one, other):
+    """The features tell nothing about the separators, the at sign or a plus before the span."""
+    seen = [pii.describe(f"call {sign}{span} now", kind, 5 + len(sign), 5 + len(sign) + len(span)) for span in (one, other) for sign in ("", "+")]
+    assert all(x == seen[0] for x in seen)
