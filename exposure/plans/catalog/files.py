@@ -93,13 +93,21 @@ def _(v: Views) -> DataFrame:
     return _record_columns(_given(feeds.read_feed(v.spark, paths), paths, n))
 
 
+def _parts_of(v: Views) -> DataFrame:
+    """Parts with a code and a place: id, file_seq, pos."""
+    return v.table("part").selectExpr(
+        "*", "concat('CVE-', 2000 + p_partkey % 27, '-', lpad(p_partkey, greatest(5, length(p_partkey)), '0')) AS id",
+        "CAST(p_partkey % 3 AS INT) AS file_seq", "struct(p_partkey AS row) AS pos",
+    )
+
+
 def _nvd(v: Views) -> DataFrame:
     """Parts as NVD records: file_seq, pos, item."""
-    part = v.table("part").selectExpr("*", "concat('CVE-', 2000 + p_partkey % 27, '-', lpad(p_partkey, greatest(5, length(p_partkey)), '0')) AS id")
+    part = _parts_of(v)
     text = F.array(F.struct(F.lit("en").alias("lang"), F.col("p_name").alias("value")))
     cve = F.struct("id", F.lit("2024-01-02T00:00:00").alias("published"), text.alias("descriptions"))
     return part.select(
-        F.expr("CAST(p_partkey % 3 AS INT)").alias("file_seq"), F.struct(F.col("p_partkey").alias("row")).alias("pos"),
+        "file_seq", "pos",
         F.concat(F.lit('{"cve":'), F.to_json(cve), F.lit("}")).alias("item"),
     )
 
@@ -110,6 +118,14 @@ def _(v: Views) -> DataFrame:
     return feeds.read_feed(v.spark, paths).select("cve_id", "description", "file_seq")
 
 
+@query("read_kev_feed", f"""
+    SELECT {code_sql('p_partkey')} AS "cveID", p_type AS "vendorProject", p_name AS product, CAST(p_partkey % 3 AS INTEGER) AS file_seq FROM part""")
+def _(v: Views) -> DataFrame:
+    entry = F.struct(F.col("id").alias("cveID"), F.col("p_type").alias("vendorProject"), F.col("p_name").alias("product"))
+    paths = _documents(_parts_of(v).select("file_seq", "pos", F.to_json(entry).alias("item")), _folder(v), '{"title":"KEV","vulnerabilities":[', "]}")
+    return feeds.read_kev_feed(v.spark, paths).select("cveID", "vendorProject", "product", "file_seq")
+
+
 @query("feed_kinds", """
     SELECT 'nvd' AS kind, true AS compact, count(DISTINCT p_partkey % 3)::INTEGER AS n FROM part
     UNION ALL SELECT 'internal', false, count(DISTINCT o_orderkey % 5)::INTEGER FROM orders""")

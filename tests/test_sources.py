@@ -354,3 +354,11 @@ def test_compact_documents_are_checked_in_pieces(spark, tmp_path):
     assert kinds[paths["good"]] == ("nvd", True) and kinds[paths["loose"]] == ("nvd", False)
     assert kinds[paths["end"]] == kinds[paths["value"]] == ("unknown", False)
     assert feeds.read_feed(spark, [paths["good"], paths["end"], paths["loose"]], strict=False).count() == 600
+
+
+def test_damaged_catalogues_are_an_error(spark, tmp_path):
+    whole = json.dumps({"vulnerabilities": [{"cveID": f"CVE-2021-{i:04d}"} for i in range(3)]})
+    for i, text in enumerate((whole[:-1], whole[:-20], json.dumps({"other": []}), whole.replace('"}', '",}', 1))):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(Exception, match="damaged JSON|MALFORMED"):
+            feeds.read_kev_feed(spark, str(tmp_path / f"{i}.json")).collect()
