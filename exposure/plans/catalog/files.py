@@ -145,6 +145,18 @@ def _(v: Views) -> DataFrame:
     return files.payload_hashes(files.list_files(v.spark, folder, "*.gz")).select("sha256", "payload_bytes")
 
 
+@query("payload_hashes_by_range", """
+    SELECT CAST(c_custkey // 1000 AS INTEGER) AS part, upper(sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey))) AS sha256,
+        sum(length(c_name) + 1)::BIGINT AS payload_bytes FROM customer GROUP BY 1""")
+def _(v: Views) -> DataFrame:
+    """One file for each range of customers, so that writing and hashing spread and their number grows with the table."""
+    folder, rows = _folder(v), v.table("customer").selectExpr("c_custkey", "c_name", "CAST(c_custkey div 1000 AS INT) AS part")
+    rows = rows.repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "c_name")
+    rows.write.partitionBy("part").option("compression", "gzip").text(folder)
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int").alias("part")
+    return files.payload_hashes(files.list_files(v.spark, folder, "*.gz")).select(part, "sha256", "payload_bytes")
+
+
 @query("read_asset_grid", "SELECT import_id, row_no, array_to_string(list_transform(cells, lambda c: coalesce(c, '~')), '|') AS cells FROM x_grid")
 def _(v: Views) -> DataFrame:
     folder = _folder(v)
