@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import chat, forest, media, mixing, packing, pii, sharding, simhash, toxicity, urls
+from exposure.llm import chat, forest, infill, media, mixing, packing, periods, pii, sharding, simhash, toxicity, urls
 
 _SAMPLE_TEXT = "\\### Assistant: </turn> ok"
 
@@ -187,13 +188,79 @@ def op10_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = infill.transform(_table(spark, sf_dir, "documents"))
+    return told.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        infill.arranged_sha256("text", "pieces").alias("output_sha256"),
+        infill.restored_sha256("output", "form").alias("restored_sha256"),
+    )
+
+
+_OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+  FROM documents
+), numbers AS (
+  SELECT *, len(tokens)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM drawn
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+    array_to_string(tokens[b + 1:], '') AS suffix
+  FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+    ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _repeated(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """A tenth of the documents repeat a stretch of theirs to the end, as told by the checksum of the id (null: of no digits)."""
+    h = zlib.crc32(str("" if doc_id is None else doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_table(spark, sf_dir, "documents"), prepare=_repeated)
+    longest = F.element_at(F.sort_array(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))), 1)
+    one = F.when(F.size("runs") > 0, longest)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.select("doc_id", "runs", "collapsed", one.alias("one"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"))
+    length = -F.col("one.col1")
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("one.start").alias("start"),
+        length.alias("length"),
+        F.col("one.period").alias("period"),
+        F.expr("-one.col1 * 1000 div one.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_reply_trees, op2_toxicity_crf, op3_prefix_forest, op4_jump_hash, op5_media_columns, op6_mixing, op7_simhash,
-        op8_pii_boosting, op9_url_lists, op10_bin_slack,
+        op8_pii_boosting, op9_url_lists, op10_bin_slack, op11_infill, op12_baier_runs,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_reply_trees": _OP1_SQL, "op6_mixing": _OP6_SQL, "op9_url_lists": _OP9_SQL}
+    return {"op1_reply_trees": _OP1_SQL, "op6_mixing": _OP6_SQL, "op9_url_lists": _OP9_SQL, "op11_infill": _OP11_SQL}
