@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import chat, forest, infill, media, mixing, packing, periods, pii, sharding, simhash, toxicity, urls
+from exposure.llm import chat, forest, infill, jaccard, media, mixing, packing, periods, pii, sharding, simhash, toxicity, urls
 
 _SAMPLE_TEXT = "\\### Assistant: </turn> ok"
 
@@ -254,10 +254,15 @@ def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_reply_trees, op2_toxicity_crf, op3_prefix_forest, op4_jump_hash, op5_media_columns, op6_mixing, op7_simhash,
         op8_pii_boosting, op9_url_lists, op10_bin_slack, op11_infill, op12_baier_runs,
+        op13_jaccard,
     )
     return {f.__name__: f for f in found}
 
