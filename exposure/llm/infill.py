@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -153,21 +153,36 @@ def _plain(pieces: list[dict]) -> list[Piece]:
 
 def piece_tables(
     docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED,
-    plain_percent: int = PLAIN_PERCENT, spm_percent: int = SPM_PERCENT,
+    plain_percent: int = PLAIN_PERCENT, spm_percent: int = SPM_PERCENT, with_output: bool = False,
 ) -> DataFrame:
     """Every document with its piece table: doc_id, text, n, form, prefix_chars, middle_chars, pieces.
 
+    ``with_output`` adds the arranged text (``output``) and its SHA-256 in hex digits (``output_sha256``), read through the descriptors.
+
     The document is cut into n tokens (a run of A-Z and a-z, or any other character). The cuts and the form follow from the
     SHA-256 of ``seed:doc_id``, so reruns agree and repeated rows get the same table; a null doc_id counts as an empty one. A null
     text counts as empty. Empty texts, texts that hold a sentinel and ``plain_percent`` of the others stay plain (prefix_chars and
     middle_chars null). Texts of any length are read in place, a stretch at a time. Other columns of ``docs`` are left out.
     No rows: no rows.
     """
-    @F.arrow_udf(_ARRANGED)
+    wanted = _ARRANGED[:-1] + ",output:string,output_sha256:string>" if with_output else _ARRANGED
+
+    @F.arrow_udf(wanted)
     def describe_all(texts: pa.Array, draws: pa.Array) -> pa.Array:
-        rows = zip(texts.cast(pa.binary()), draws, strict=True)
-        found = [describe(t.as_py(), d.as_py(), plain_percent, spm_percent) for t, d in rows]
-        return pa.array(found, _TABLE)
+        found, outputs, digests = [], [], []
+        for t, d in zip(texts.cast(pa.binary()), draws, strict=True):
+            raw = t.as_py()
+            told = describe(raw, d.as_py(), plain_percent, spm_percent)
+            found.append(told)
+            if with_output:
+                pieces = _plain(told["pieces"])
+                outputs.append(b"".join(stream(pieces, raw)))
+                digests.append(digest(pieces, raw))
+        tables = pa.array(found, _TABLE)
+        if not with_output:
+            return tables
+        columns = [*tables.flatten(), pa.array(outputs, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())]
+        return pa.StructArray.from_arrays(columns, [*_TABLE.names, "output", "output_sha256"])
 
     draws = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), draws.alias("_draws"))
@@ -181,13 +196,6 @@ _TABLE = pa.struct(
 )
 
 
-@F.arrow_udf(StringType())
-def arranged(text: pa.Array, pieces: pa.Array) -> pa.Array:
-    """The text that a piece table describes."""
-    rows = zip(text.cast(pa.binary()), pieces, strict=True)
-    return pa.array([b"".join(stream(_plain(p.as_py()), t.as_py())) for t, p in rows], pa.binary()).cast(pa.string())
-
-
 @F.arrow_udf(StringType())
 def restored(output: pa.Array, form: pa.Array) -> pa.Array:
     """The document's own text from an arranged one and the name of its form."""
@@ -198,13 +206,6 @@ def restored(output: pa.Array, form: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary()).cast(pa.string())
 
 
-@F.arrow_udf(StringType())
-def arranged_sha256(text: pa.Array, pieces: pa.Array) -> pa.Array:
-    """SHA-256 (hex) of the arranged text, read through the descriptors."""
-    rows = zip(text.cast(pa.binary()), pieces, strict=True)
-    return pa.array([digest(_plain(p.as_py()), t.as_py()) for t, p in rows], pa.string())
-
-
 @F.arrow_udf(StringType())
 def restored_sha256(output: pa.Array, form: pa.Array) -> pa.Array:
     """SHA-256 (hex) of the restored text, read through the descriptors over the arranged one."""
@@ -216,11 +217,11 @@ def restored_sha256(output: pa.Array, form: pa.Array) -> pa.Array:
 
 
 def transform(docs: DataFrame, **options) -> DataFrame:
-    """``piece_tables`` with the arranged text as ``output``; rows as there."""
-    return piece_tables(docs, **options).withColumn("output", arranged("text", "pieces"))
+    """``piece_tables`` with the arranged text as ``output`` and its digest as ``output_sha256``; rows as there."""
+    return piece_tables(docs, with_output=True, **options)
 
 
 def restore(outputs: DataFrame, text: str = "restored") -> DataFrame:
     """Rows with ``output`` and ``form``, and the exact text they came from. A null output or form gives null."""
-    exact: Column = F.when(F.col("output").isNotNull() & F.col("form").isNotNull(), restored(F.coalesce("output", F.lit("")), F.coalesce("form", F.lit("plain"))))
+    exact = F.when(F.col("output").isNotNull() & F.col("form").isNotNull(), restored(F.coalesce("output", F.lit("")), F.coalesce("form", F.lit("plain"))))
     return outputs.withColumn(text, exact)

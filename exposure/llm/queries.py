@@ -191,8 +191,7 @@ def op10_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = infill.transform(_table(spark, sf_dir, "documents"))
     return told.select(
-        "doc_id", "n", "form", "prefix_chars", "middle_chars",
-        infill.arranged_sha256("text", "pieces").alias("output_sha256"),
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
         infill.restored_sha256("output", "form").alias("restored_sha256"),
     )
 
