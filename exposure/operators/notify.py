@@ -6,7 +6,9 @@ import datetime as dt
 import hashlib
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,45 +50,76 @@ def message_keys(active: DataFrame) -> DataFrame:
     """Per (advisory, department) the number of assets and the key, SHA-256 of ``advisory:department:[sorted distinct asset ids]``.
 
     A digest needs its text in order, not at once: the ids of a group are sorted within a task, which may spill, and pass
-    through the digest one batch after the other. No list of a group is built, whatever its size.
+    through the digest one batch after the other. No list of a group is built, whatever its size; groups that begin and end in a
+    batch are told together.
     """
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, digest, n = None, None, 0
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digest, n, last = None, None, 0, None  # the group that may go on in the next batch, and its last id
+        names = [*GROUP, "asset_total", "idempotency_key"]
 
-        def row() -> pd.DataFrame:
-            digest.update(b"]")
-            return pd.DataFrame([(*group, n, digest.hexdigest())], columns=[*GROUP, "asset_total", "idempotency_key"])
+        def finished(first: pa.Array, second: pa.Array, totals: list[int], keys: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([first, second, pa.array(totals, pa.int64()), pa.array(keys, pa.string())], names)
 
         for batch in batches:
-            keys = [tuple(None if pd.isna(k) else k for k in pair) for pair in zip(batch[GROUP[0]], batch[GROUP[1]])]
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            for start, end in zip(starts, [*starts[1:], len(keys)]):
-                if digest is None or keys[start] != group:
-                    if digest is not None:
-                        yield row()
-                    group, digest, n = keys[start], hashlib.sha256(), 0
-                    digest.update((":".join([k for k in group if k is not None] + ["["])).encode())
-                ids = batch["id"].iloc[start:end].dropna().tolist()
-                if ids:
-                    digest.update(((", " if n else "") + ", ".join(ids)).encode())
-                    n += len(ids)
+            rows = batch.num_rows
+            if not rows:
+                continue
+            columns = [batch.column(c) for c in GROUP]
+            change = np.zeros(rows - 1, bool)
+            for c in columns:
+                later, earlier = c.slice(1), c.slice(0, rows - 1)
+                same = pc.fill_null(pc.equal(later, earlier), False)
+                both = pc.and_(pc.is_null(later), pc.is_null(earlier))
+                change |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+            starts = np.r_[0, np.flatnonzero(change) + 1]
+            heads = [c.take(pa.array(starts)) for c in columns]
+            ids = batch.column("id")
+            again = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, rows - 1)), False).to_numpy(zero_copy_only=False) & ~change
+            first_again = digest is not None and last is not None and ids[0].as_py() == last and tuple(h[0].as_py() for h in heads) == group
+            kept = pc.is_valid(ids).to_numpy(zero_copy_only=False) & ~np.r_[first_again, again]
+            edges = np.r_[0, np.cumsum(kept)][np.r_[starts, rows]]
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), ids.filter(pa.array(kept)))
+            sizes, joined, last = np.diff(edges).tolist(), pc.binary_join(lists, ", "), ids[rows - 1].as_py()
+            parts = [pc.fill_null(pc.binary_join_element_wise(h, "", ":"), "") for h in heads]
+            texts = pc.binary_join_element_wise(*parts, "[", joined, "").to_pylist()
+            totals, keys, at = [], [], 0
+            head = tuple(h[0].as_py() for h in heads)
+            if digest is not None and head == group:
+                if sizes[0]:
+                    digest.update(((", " if n else "") + joined[0].as_py()).encode())
+                    n, at = n + sizes[0], 1
+                else:
+                    at = 1
+            if digest is not None and (at == 0 or len(texts) > 1):
+                digest.update(b"]")
+                yield finished(pa.array([group[0]], pa.string()), pa.array([group[1]], pa.string()), [n], [digest.hexdigest()])
+                digest = None
+            done = len(texts) - 1
+            if done > at:
+                keys = [hashlib.sha256(f"{t}]".encode()).hexdigest() for t in texts[at:done]]
+                totals = sizes[at:done]
+                yield finished(heads[0].slice(at, done - at), heads[1].slice(at, done - at), totals, keys)
+            if digest is None:
+                group, n = tuple(h[done].as_py() for h in heads), sizes[done]
+                digest = hashlib.sha256(texts[done].encode())
         if digest is not None:
-            yield row()
+            digest.update(b"]")
+            yield finished(pa.array([group[0]], pa.string()), pa.array([group[1]], pa.string()), [n], [digest.hexdigest()])
 
     text = [F.col(c).cast("string").alias(c) for c in GROUP]
-    ids = active.select(*GROUP, "asset_id").distinct().repartition(*GROUP).sortWithinPartitions(*GROUP, "asset_id")
-    found = ids.select(*text, F.col("asset_id").cast("string").alias("id")).mapInPandas(
+    ids = active.select(*GROUP, "asset_id").repartition(*GROUP).sortWithinPartitions(*GROUP, "asset_id")
+    found = ids.select(*text, F.col("asset_id").cast("string").alias("id")).mapInArrow(
         digests, "advisory_id string, department_id string, asset_total bigint, idempotency_key string"
     )
     return found.select(*[F.col(c).cast(active.schema[c].dataType).alias(c) for c in GROUP], "asset_total", "idempotency_key")
 
 
-def _by_group(left: DataFrame, right: DataFrame) -> DataFrame:
+def _by_group(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Rows of both sides of a group; a missing department is a group, too."""
     right = right.withColumnsRenamed({c: f"_{c}" for c in GROUP})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]
-    return left.join(right, same[0] & same[1]).drop(*[f"_{c}" for c in GROUP])
+    return left.join(right, same[0] & same[1], how).drop(*[f"_{c}" for c in GROUP])
 
 
 def message_headers(active: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER) -> DataFrame:
@@ -145,12 +178,12 @@ def messages(
 
 def with_text(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """The complete text of each header's message, for delivery: a text names every line of its group."""
-    own = lines.join(headers.select(*GROUP).distinct(), GROUP, "left_semi")
+    own = _by_group(lines, headers.select(*GROUP).distinct(), "left_semi")
     listed = own.groupBy(*GROUP).agg(
         F.array_sort(F.collect_list(F.struct("cve_id_text", "asset_id", "line"))).alias("_lines")
     )
     text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
-    return headers.join(listed, GROUP, "left").withColumn(
+    return _by_group(headers, listed, "left").withColumn(
         "message", F.concat("message_head", F.coalesce(text, F.lit("")), "message_foot")
     ).drop("_lines")
 
@@ -165,8 +198,7 @@ def notification_preview(
         .withColumn("_sent", F.lit(True))
     )
     return (
-        messages(active, department, advisory, sentinel)
-        .join(sent, GROUP, "left")
+        _by_group(messages(active, department, advisory, sentinel), sent, "left")
         .select(
             *GROUP, "department", "asset_count", "owners",
             F.size("cves").alias("issue_count"), F.array_join("cves", ", ").alias("cve_list"),
@@ -180,7 +212,7 @@ def notification_preview(
 def sent_targets(groups: DataFrame, notifications: DataFrame) -> DataFrame:
     """Per advisory: matched departments, how many of them were sent to, and whether all were."""
     sent = notifications.where(F.col("status").isin(*DELIVERED)).select(*GROUP).distinct()
-    marked = groups.select(*GROUP).distinct().join(sent.withColumn("_sent", F.lit(True)), GROUP, "left")
+    marked = _by_group(groups.select(*GROUP).distinct(), sent.withColumn("_sent", F.lit(True)), "left")
     return marked.groupBy("advisory_id").agg(
         F.count("*").alias("total_departments"),
         F.count("_sent").alias("sent_count"),
@@ -195,22 +227,22 @@ def all_sent(groups: DataFrame, notifications: DataFrame) -> DataFrame:
 
 def plan_notifications(
     active: DataFrame, department: DataFrame, advisory: DataFrame, notifications: DataFrame,
-    targets: DataFrame | None = None, channels: Sequence[str] = DEFAULT_CHANNELS, listed: bool = True,
+    targets: DataFrame | None = None, channels: Sequence[str] = DEFAULT_CHANNELS, listed: bool = False,
 ) -> DataFrame:
     """What to send: one row per target department with its key, assets, message frame and action.
 
     ``action``: ``skip`` when the same key was already delivered, ``retry`` when it failed before, else
     ``send``. ``targets`` (advisory_id, department_id[, channels]) narrows the departments. :func:`with_text` adds the
-    complete texts. Without ``listed`` the asset ids are left to :func:`message_assets`, and no value grows with a group.
+    complete texts. The asset ids are the rows of :func:`message_assets`, so that no value grows with a group; ``listed`` adds them as a list.
     """
     default = F.array(*[F.lit(c) for c in channels])
     if targets is not None:
-        active = active.join(targets.select(*GROUP).distinct(), GROUP, "left_semi")
+        active = _by_group(active, targets.select(*GROUP).distinct(), "left_semi")
     plan = messages(active, department, advisory)
     if listed:
         plan = with_assets(plan, active)
     if targets is not None and "channels" in targets.columns:
-        plan = plan.join(targets.select(*GROUP, "channels"), GROUP)
+        plan = _by_group(plan, targets.select(*GROUP, "channels"))
     else:
         plan = plan.withColumn("channels", F.lit(None).cast("array<string>"))
     known = first_per(notifications, ["idempotency_key"], F.col("notification_id")).select(

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from exposure.session import store
 from exposure.operators.matching import active_matches
 from exposure.operators import acks as A, board as B, notify as N, rollups as R
 from exposure.operators.state import apply_changes, publish, refused_creates
@@ -173,7 +174,7 @@ def test_notification_plan(spark):
     rows = active_matches(m, a)
     lines = N.message_lines(rows, cve)
     none = notes(spark).where("false")
-    plan = {r.department_id: r for r in N.with_text(N.plan_notifications(rows, dept, adv, none), lines).collect()}
+    plan = {r.department_id: r for r in N.with_text(N.plan_notifications(rows, dept, adv, none, listed=True), lines).collect()}
     assert plan[7].idempotency_key == hashlib.sha256(b"1:7:[1, 2]").hexdigest()
     assert (plan[7].asset_ids, plan[7].action, plan[7].channels) == ([1, 2], "send", ["MAIL", "WEB_UI"])
     assert "자산 3대" in plan[7].message and "(담당 kim)" in plan[7].message and "조치기한: 2024-02-01" in plan[7].message
@@ -182,7 +183,7 @@ def test_notification_plan(spark):
     sent = spark.createDataFrame([(5, "FAILED", plan[7].idempotency_key), (6, "ACKED", plan[8].idempotency_key)], "notification_id bigint, status string, idempotency_key string")
     again = {r.department_id: (r.action, r.existing_id) for r in N.plan_notifications(rows, dept, adv, sent).collect()}
     assert again == {7: ("retry", 5), 8: ("skip", 6)}
-    planned = N.planned_rows(N.with_text(N.plan_notifications(rows, dept, adv, sent), lines), 6).collect()
+    planned = N.planned_rows(N.with_text(N.plan_notifications(rows, dept, adv, sent, listed=True), lines), 6).collect()
     assert [(r.notification_id, r.department_id, r.asset_ids, r.status) for r in planned] == [(5, 7, [1, 2], "PENDING")]
     fresh = N.planned_rows(N.with_text(N.plan_notifications(rows, dept, adv, none), lines), 6).collect()
     assert len({r.notification_id for r in fresh}) == 2 and min(r.notification_id for r in fresh) > 6
@@ -198,7 +199,7 @@ def test_a_large_group_is_one_message_with_one_key(spark):
         F.lit("Edge").alias("product_raw"), F.lit("edge").alias("product_key"), F.lit("1").alias("version_raw"), F.lit("1").alias("version_norm"))
     dept = spark.createDataFrame([(7, "roads")], "department_id bigint, name string")
     cve = spark.createDataFrame([("C1", "HIGH")], "cve_id string, severity string")
-    (r,) = N.with_text(N.plan_notifications(rows, dept, adv, notes(spark).where("false")), N.message_lines(rows, cve)).collect()
+    (r,) = N.with_text(N.plan_notifications(rows, dept, adv, notes(spark).where("false"), listed=True), N.message_lines(rows, cve)).collect()
     ids = ", ".join(map(str, range(n)))
     assert r.idempotency_key == hashlib.sha256(f"1:7:[{ids}]".encode()).hexdigest() and len(r.asset_ids) == r.asset_total == n
     assert r.message.count("· PC (Edge 1) — C1 HIGH") == n and "(담당 o0, o1, o2)" in r.message
@@ -228,7 +229,7 @@ def test_keys_and_asset_rows_without_a_list_of_the_group(spark, rows):
     known = spark.createDataFrame([], "notification_id bigint, status string, idempotency_key string")
     plan = N.plan_notifications(active, dept, adv, known, listed=False)
     assert "asset_ids" not in plan.columns and "message" not in plan.columns
-    sent = N.planned_rows(plan, 0).localCheckpoint()
+    sent = store(N.planned_rows(plan, 0), "planned")
     assets = N.notification_assets(sent, active)
     own = {r.idempotency_key: r.department_id for r in sent.collect()}
     assert sorted((own[r.idempotency_key] or 0, r.asset_id) for r in assets.collect()) == sorted((d or 0, i) for d, ids in groups.items() for i in ids)
