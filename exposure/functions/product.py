@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposure.constants import PRODUCT_ALIASES
@@ -31,20 +31,6 @@ def with_alias(product_key: str, alias: str, aliases: Aliases | None = None) ->
     return table
 
 
-def aliases_from_rows(alias_rows: DataFrame, max_rows: int = 10_000) -> dict[str, list[str]]:
-    """Alias table kept as a (product_key, alias) configuration table, added to the built-in one.
-
-    The table becomes part of the query plan, so it has to be small; a larger one is refused.
-    """
-    rows = alias_rows.select("product_key", "alias").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"alias table has more than {max_rows} rows")
-    table = {k: list(v) for k, v in PRODUCT_ALIASES.items()}
-    for key, alias in sorted((r["product_key"], r["alias"]) for r in rows):
-        table = with_alias(key, alias, table)
-    return table
-
-
 def _alias_table(aliases: Aliases | None) -> Column:
     """Literal ``ARRAY<STRUCT<alias,key>>`` in matching order; read from JSON, which folds to a constant."""
     rows = [{"alias": a, "key": key} for a, key in ordered_aliases(aliases)]
@@ -56,23 +42,27 @@ def _known(text: Column, table: Column) -> Column:
     return F.get(F.filter(table, lambda x: F.contains(text, x["alias"])), F.lit(0))
 
 
-def normalize_product(raw: Column | str, aliases: Aliases | None = None) -> Column:
-    """Raw product text to product key: longest alias contained in it, else a slug."""
-    table = _alias_table(aliases)
+def normalize_product(raw: Column | str, aliases: Aliases | None = None, known: Column | None = None) -> Column:
+    """Raw product text to product key: longest alias contained in it, else a slug.
+
+    ``known`` is the entry (alias, key) of the text where it was looked up already, see ``operators.products``.
+    """
+    table = _alias_table(aliases) if known is None else None
     return let(
         F.lower(strip(F.coalesce(as_col(raw), F.lit("")))),
         lambda t: F.coalesce(
-            _known(t, table)["key"], F.btrim(F.regexp_replace(t, r"[^a-z0-9가-힣]+", "_"), F.lit("_"))
+            (_known(t, table) if known is None else known)["key"], F.btrim(F.regexp_replace(t, r"[^a-z0-9가-힣]+", "_"), F.lit("_"))
         ),
     )
 
 
-def split_product_version(raw: Column | str, aliases: Aliases | None = None) -> Column:
+def split_product_version(raw: Column | str, aliases: Aliases | None = None, known: Column | None = None) -> Column:
     """One cell holding both to ``STRUCT<product,version>``.
 
-    Cut after the longest known alias; without one, before the first token that looks like a version.
+    Cut after the longest known alias; without one, before the first token that looks like a version. ``known`` as in
+    :func:`normalize_product`.
     """
-    table = _alias_table(aliases)
+    table = _alias_table(aliases) if known is None else None
 
     def cut(text: Column, alias: Column) -> Column:
         end = F.position(alias, F.lower(text)) + F.length(alias) - 1
@@ -96,7 +86,7 @@ def split_product_version(raw: Column | str, aliases: Aliases | None = None) ->
 
     def split(text: Column) -> Column:
         return let(
-            _known(F.lower(text), table)["alias"],
+            (_known(F.lower(text), table) if known is None else known)["alias"],
             lambda alias: F.when(text == "", _pair(F.lit(""), F.lit("")))
             .when(alias.isNotNull(), cut(text, alias))
             .otherwise(by_token(text)),

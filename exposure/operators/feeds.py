@@ -18,20 +18,28 @@ from exposure.functions.severity import score_number, severity_from_any
 from exposure.functions.text import as_col, blank_to_null, strip
 from exposure.functions.version import any_rule, parse_version_rule, rule_from_text
 from exposure.operators.advisories import unlock_advisories
+from exposure.operators.products import KNOWN, with_known
 from exposure.operators.skew import first_per
 from exposure.operators.state import overlay, upsert
 from exposure.schemas import CVE_RECORD_COLUMNS, RECORD_FIELDS
 
-Aliases = Mapping[str, Sequence[str]]
+Aliases = Mapping[str, Sequence[str]] | DataFrame
 PLACE = ("file_seq", "pos")
 
 
 # --- normalisation -------------------------------------------------------------------------------
+def _product_key(raw: DataFrame, name: Column, aliases: Aliases | None) -> tuple[DataFrame, Column]:
+    if not isinstance(aliases, DataFrame):
+        return raw, normalize_product(name, aliases)
+    return with_known(raw, name, aliases), normalize_product(name, known=F.col(KNOWN))
+
+
 def normalize_feed(raw: DataFrame, aliases: Aliases | None = None, zero_is_missing: bool = True) -> DataFrame:
     """Raw text records to CVE records; rows without a usable id are dropped.
 
     Other columns of ``raw`` (such as the place in the input) are kept. The class comes from the score as given, before it is
     rounded. A score of 0 is missing in JSON, where it is a number; in CSV, where it is text, it is kept (``zero_is_missing``).
+    ``aliases`` is a small table, or a frame (product_key, alias) of any size that is joined and added to the built-in one.
     """
     have = set(raw.columns)
 
@@ -53,13 +61,12 @@ def normalize_feed(raw: DataFrame, aliases: Aliases | None = None, zero_is_missi
     exact = F.when(given != 0, given) if zero_is_missing else given
     number = exact.try_cast("decimal(3,1)")
     rest = [c for c in raw.columns if c not in RECORD_FIELDS]
+    raw, key = _product_key(raw, name, aliases)
     return (
         raw.select(
             cve_id.alias("cve_id"),
             name.alias("product_name"),
-            F.coalesce(field("product_key"), F.when(name.isNotNull(), normalize_product(name, aliases))).alias(
-                "product_key"
-            ),
+            F.coalesce(field("product_key"), F.when(name.isNotNull(), key)).alias("product_key"),
             rule.alias("version_rule"),
             F.when(F.startswith(cpe, F.lit("[")), F.from_json(cpe, "array<string>"))
             .when(cpe.isNotNull(), F.array(cpe)).alias("cpe_list"),
@@ -84,10 +91,11 @@ def normalize_nvd(raw: DataFrame, aliases: Aliases | None = None) -> DataFrame:
     criteria = F.filter(F.transform("_m", lambda x: x["criteria"]), lambda c: F.coalesce(c, F.lit("")) != "")
     name = blank_to_null(F.get(names, F.lit(0)))
     score = F.when(F.col("_cvss.score") != 0, F.col("_cvss.score"))
+    m, key = _product_key(m, name, aliases)
     return m.select(
         canonical_cve_id("cve.id").alias("cve_id"),
         name.alias("product_name"),
-        F.when(name.isNotNull(), normalize_product(name, aliases)).alias("product_key"),
+        F.when(name.isNotNull(), key).alias("product_key"),
         F.coalesce(F.try_element_at(rules, F.lit(-1)), any_rule()).alias("version_rule"),
         F.when(F.size(criteria) > 0, criteria).alias("cpe_list"),
         severity_from_any(F.col("_cvss.severity"), score).alias("severity"),

@@ -9,6 +9,7 @@ from exposure.functions.cve import canonical_cve_id, cve_year
 from exposure.functions.deadlines import d_day, parse_date_any, parse_date_strict, pct, sla_from_status, sla_status
 from exposure.functions.grid import CellSpec, col_letter, letter_to_idx, resolve_cell
 from exposure.functions.messages import idempotency_key, parse_ack, render_reminder, render_template
+from exposure.operators.products import KNOWN, with_known
 from exposure.functions.product import cpe_product, normalize_product, product_ver_label, split_product_version
 from exposure.functions.severity import (
     ack_ko, action_ko, severity_from_any, severity_from_cvss, severity_ko, severity_rank, sla_ko,
@@ -111,6 +112,31 @@ def _(v: Views) -> DataFrame:
     return a.unionByName(p).unionByName(s).select("id", normalize_product("raw").alias("product_key"))
 
 
+def _alias_rows(v: Views) -> DataFrame:
+    """Six aliases for each part."""
+    each = v.table("part").selectExpr("p_partkey", "p_name", "explode(sequence(0, 5)) AS i")
+    return each.selectExpr("concat('p', p_partkey) AS product_key", "concat(' ', upper(p_name), ' ', p_partkey * 6 + i) AS alias")
+
+
+@query("product_aliases", """
+    WITH t AS MATERIALIZED (SELECT o_orderkey AS id, p_name, 'Acme ' || upper(p_name) || ' ' || o_orderkey % 20000 || ' v' || o_orderkey % 9 AS raw,
+        CAST(o_orderkey % 20000 AS VARCHAR) AS digits FROM orders JOIN part ON p_partkey = o_custkey),
+    a AS MATERIALIZED (SELECT p_partkey, p_name, CAST(p_partkey * 6 + i AS VARCHAR) AS digits FROM part, range(6) r(i)),
+    b AS (SELECT id, p_partkey, length(a.digits) AS n
+        FROM t JOIN a ON split_part(a.p_name, ' ', -1) = split_part(t.p_name, ' ', -1) AND ends_with(t.p_name, a.p_name) AND starts_with(t.digits, a.digits)
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(a.p_name) + length(a.digits) DESC, 'p' || p_partkey) = 1)
+    SELECT id, coalesce('p' || b.p_partkey, regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g')) AS product_key,
+        CASE WHEN n IS NOT NULL THEN trim(substr(raw, CAST(length('Acme ' || p_name || ' ') + n + 1 AS BIGINT)), ' -/().,') END AS version
+    FROM t LEFT JOIN b USING (id)""")
+def _(v: Views) -> DataFrame:
+    """Keys and versions by an alias table that grows with the parts."""
+    named = v.table("orders").join(v.table("part"), F.col("p_partkey") == F.col("o_custkey")).selectExpr(
+        "o_orderkey AS id", "concat('Acme ', upper(p_name), ' ', o_orderkey % 20000, ' v', o_orderkey % 9) AS raw")
+    found = with_known(named, F.col("raw"), _alias_rows(v))
+    version = F.when(F.col(KNOWN).isNotNull(), split_product_version("raw", known=F.col(KNOWN))["version"])
+    return found.select("id", normalize_product("raw", known=F.col(KNOWN)).alias("product_key"), version.alias("version"))
+
+
 _HEAD = sql_list(("Windows 11", "win10", "Microsoft Windows Server", "MS Office", "Google Chrome", "한컴오피스", "Adobe Acrobat",
                   "msedge", "Linux Kernel", "Ubuntu", "IBM AIX", "OpenSSL", "Apache HTTP Server", "Acme Widget-Pro"))
 _TAIL = sql_list(("", "Pro", "2022", "", "", "", "DC", "", "", "Linux", "", "", "", ""))

@@ -362,3 +362,22 @@ def test_damaged_catalogues_are_an_error(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(text)
         with pytest.raises(Exception, match="damaged JSON|MALFORMED"):
             feeds.read_kev_feed(spark, str(tmp_path / f"{i}.json")).collect()
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_csv_that_ends_inside_a_quote_is_refused(spark, tmp_path, monkeypatch, packed):
+    monkeypatch.setattr(files, "_PIECE", 5)
+    good = ['cve,desc\nCVE-2024-0001,"a ""b"", c\nd"\n', 'cve,desc\nCVE-2024-0001,5" disk\n', '\ufeff"cve",desc\n"CVE-2024-0001",""', 'cve,desc\nCVE-2024-0001,"x"']
+    cut = ['cve,desc\nCVE-2024-0001,"a\nCVE-2024-0002,b\n', '"cve,desc\n', 'cve,desc\nCVE-2024-0001,"x""']
+    for i, text in enumerate(good + cut):
+        data = text.encode()
+        name = f"{i}.csv.gz" if packed else f"{i}.csv"
+        (tmp_path / name).write_bytes(gzip.compress(data) if packed else data)
+        with files.open_stream(str(tmp_path / name)) as f:
+            assert files._kind(name, f)[0] == ("csv" if i < len(good) else "unknown"), text
+    path = str(tmp_path / ("4.csv.gz" if packed else "4.csv"))
+    with pytest.raises(ValueError, match="damaged CSV"):
+        feeds.read_csv_feed(spark, path)
+    with pytest.raises(ValueError, match="unsupported"):
+        feeds.read_feed(spark, path)
+    assert [r.kind for r in feeds.sniff_feeds(spark, path).collect()] == ["unknown"]

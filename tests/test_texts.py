@@ -4,6 +4,7 @@ import re
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from exposure.operators import products
 from exposure.functions import grid, messages, product, severity, text
 from exposure.functions.cve import canonical_cve_id, cve_year, extract_cves
 from exposure.functions.deadlines import parse_date_any, pct, sla_status
@@ -68,14 +69,30 @@ def test_products(spark):
 
 
 def test_added_alias(spark):
-    rows = spark.createDataFrame([("acme_suite", " Acme Tool ")], "product_key string, alias string")
-    table = product.aliases_from_rows(rows)
+    table = product.with_alias("acme_suite", " Acme Tool ")
     df = spark.createDataFrame([("My ACME tool 5",)], "p string")
     r = df.select(product.normalize_product("p", table).alias("k"), product.split_product_version("p", table).alias("s")).first()
     assert (r.k, tuple(r.s)) == ("acme_suite", ("My ACME tool", "5"))
     assert product.with_alias("edge", "edge") == product.with_alias("edge", " EDGE ")
 
 
+def test_alias_rows_are_joined_and_decide_as_a_table_would(spark):
+    """Longest alias first; equal lengths by the order of a table that the rows were added to by key and alias."""
+    added = [("acme", " Acme Tool "), ("zeta", "acme"), ("beta", "tool"), ("alfa", "tool"), ("edge", "tool"), ("edge", "edge"), ("x", " "), (None, "acme tool 5"), ("acme", "acme tool")]
+    table = None
+    for key, alias in sorted((k, a) for k, a in added if k and a.strip()):
+        table = product.with_alias(key, alias, table)
+    texts = ["My ACME tool 5", "Tool 7", "  Acme 1", "MS Edge 12", "win10 tool", "acm", "", None, "Nothing known 3", "x" * 300 + "tool", "한글 2022", "Tool 7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    rows = spark.createDataFrame(added, "product_key string, alias string")
+    got = products.with_known(df, F.col("p"), rows).select(
+        "i", product.normalize_product("p", known=F.col("_known")).alias("k"), product.split_product_version("p", known=F.col("_known")).alias("s"))
+    want = df.select("i", product.normalize_product("p", table).alias("k"), product.split_product_version("p", table).alias("s"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    none = products.with_known(df, F.col("p"), rows.where("false"), builtin=False)
+    assert none.where("_known IS NOT NULL").count() == 0 and none.count() == len(texts)
+
+
 def test_severity(spark):
     df = spark.createDataFrame([("높음", "1"), ("critical", None), ("?", "9.0"), (None, "7"), ("", "x"), (None, None)], "t string, s string")
     assert [r[0] for r in df.select(severity.severity_from_any("t", "s")).collect()] == [
