@@ -36,6 +36,7 @@ LISTED = 500_000
 # Candidates that a set may bring by its segments; beyond that its tokens are looked at.
 CHEAP = 32
 _SIZED = "struct<n:long,rep:long,units:int,across:int,keys:array<long>>"
+_TRUE = np.array([True])
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -60,7 +61,8 @@ def tokens(text: bytes) -> np.ndarray:
     found = np.full(len(words) - size + 1, size, np.uint64)
     for j in range(size):
         found += _PLACES[j] * each[j : len(words) - size + 1 + j]
-    return np.unique(_mix(found))
+    found = np.sort(_mix(found))
+    return found[np.concatenate([_TRUE, found[1:] != found[:-1]])]
 
 
 def band(n: int) -> int:
@@ -77,7 +79,7 @@ def layout(b: int) -> tuple[int, int]:
     need = 2 * high // 9 + 1
     if high < SMALL:
         return max(2, need + (b > 0)), min(need + 1, _NONE - 1)
-    return need + need * 3 // 20 + 3, 2
+    return need + need // 10 + 4, 2
 
 
 def signatures(found: np.ndarray, b: int, own: bool) -> tuple[np.ndarray, int]:
@@ -88,25 +90,26 @@ def signatures(found: np.ndarray, b: int, own: bool) -> tuple[np.ndarray, int]:
     """
     m, deletions = layout(b)
     spread = _mix(found + np.uint64(2 * b + 1))
-    segment = (spread % np.uint64(m)).astype(np.int64)
+    # the upper half of the hash, scaled to the number of segments
+    segment = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.uint16 if m <= 1 << 16 else np.int64)
     order = np.argsort(segment, kind="stable")
     segment, value = segment[order], _mix(spread[order] ^ np.uint64(0x5851F42D4C957F2D))
-    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-    counts = np.diff(np.r_[starts, len(segment)])
-    sums, at = np.add.reduceat(value, starts), segment[starts]
+    starts = np.flatnonzero(np.concatenate([_TRUE, segment[1:] != segment[:-1]]))
+    counts = np.diff(starts, append=len(segment))
+    sums, at = np.add.reduceat(value, starts), segment[starts].astype(np.int64)
+    salt = _PLACES[0] * at.astype(np.uint64) + _PLACES[2:3] * np.uint64(b + 1)
+    may = (at < deletions) & (counts > 1)
 
-    def keyed(total: np.ndarray, count: np.ndarray, where: np.ndarray, kind: int, upgrade: np.ndarray) -> np.ndarray:
-        base = _mix(total + _PLACES[0] * where.astype(np.uint64) + _PLACES[1] * count.astype(np.uint64) + _PLACES[2:3] * np.uint64(b + 1))
-        flags = np.where(upgrade, where, _NONE) << 2 | kind << 1 | int(own)
-        return (base & ~np.uint64(63)) | flags.astype(np.uint64)
+    def keyed(total: np.ndarray, count: np.ndarray, salt: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        return (_mix(total + salt + _PLACES[1] * count.astype(np.uint64)) & ~np.uint64(63)) | flags.astype(np.uint64)
 
-    may = (at < deletions) & (counts > 1)
-    keys = [keyed(sums, counts, at, 0, may)]
-    group = np.repeat(np.arange(len(starts)), counts)
-    chosen = may[group]
-    if chosen.any():
-        of = group[chosen]
-        keys.append(keyed(sums[of] - value[chosen], counts[of] - 1, at[of], 1, np.ones(len(of), bool)))
+    keys = [keyed(sums, counts, salt, np.where(may, at, _NONE) << 2 | int(own))]
+    low = int(np.searchsorted(at, deletions))  # segments that may be upgraded come first
+    if may[:low].any():
+        of = np.repeat(np.arange(low), counts[:low])
+        chosen = may[of]
+        of = of[chosen]
+        keys.append(keyed(sums[of] - value[: len(chosen)][chosen], counts[of] - 1, salt[of], at[of] << 2 | 2 | int(own)))
     return np.concatenate(keys), len(starts) + int(may.sum())
 
 
