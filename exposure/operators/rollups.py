@@ -27,8 +27,13 @@ def ack_counts(ack: str = "ack_status") -> list[Column]:
     return [F.count_if(F.col(ack) == s).alias(s.lower()) for s in ACK_STATUSES]
 
 
-def _asset_count() -> Column:
-    return F.coalesce(F.size("asset_ids"), F.lit(0))
+def with_asset_count(notifications: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Notifications with ``_assets``, their number of assets: rows of the bridge table ``notification_id, asset_id`` if it is given, else
+    the length of the list ``asset_ids`` (rows that were planned without lists have none)."""
+    if assets is None:
+        return notifications.withColumn("_assets", F.coalesce(F.size("asset_ids"), F.lit(0)))
+    counts = assets.groupBy("notification_id").agg(F.count("asset_id").cast("int").alias("_assets"))
+    return notifications.join(counts, "notification_id", "left").withColumn("_assets", F.coalesce("_assets", F.lit(0)))
 
 
 # --- per advisory --------------------------------------------------------------------------------
@@ -55,20 +60,24 @@ def max_severity(advisory_cve: DataFrame, cve: DataFrame) -> DataFrame:
 
 def _reply_state(notifications: DataFrame) -> DataFrame:
     closed = F.col("ack_status").isin(*CLOSED_ACKS)
-    return notifications.groupBy("advisory_id").agg(
-        F.count("*").alias("dept_total"),
-        *ack_counts(),
-        F.bool_and(closed).alias("all_done"),
-        F.sum(_asset_count()).alias("asset_total"),
-        F.sum(F.when(F.col("ack_status") == "DONE", _asset_count()).otherwise(0)).alias("asset_done"),
-    )
+    return notifications.groupBy("advisory_id").agg(F.count("*").alias("dept_total"), *ack_counts(), F.bool_and(closed).alias("all_done"), *_totals(notifications))
+
+
+def _totals(notifications: DataFrame) -> list[Column]:
+    """Sums of the assets of notifications, where they are counted."""
+    if "_assets" not in notifications.columns:
+        return []
+    return [
+        F.sum("_assets").alias("asset_total"),
+        F.sum(F.when(F.col("ack_status") == "DONE", F.col("_assets")).otherwise(0)).alias("asset_done"),
+    ]
 
 
-def remediation(advisory: DataFrame, notifications: DataFrame, as_of: AsOf) -> DataFrame:
-    """Per advisory: reply counts, rates, asset totals, days to deadline and deadline class."""
+def remediation(advisory: DataFrame, notifications: DataFrame, as_of: AsOf, assets: DataFrame | None = None) -> DataFrame:
+    """Per advisory: reply counts, rates, asset totals, days to deadline and deadline class. ``assets`` as in :func:`with_asset_count`."""
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in
             ("dept_total", "none", "in_progress", "done", "unable", "asset_total", "asset_done")}
-    r = advisory.join(_reply_state(notifications), "advisory_id", "left").withColumns(zero)
+    r = advisory.join(_reply_state(with_asset_count(notifications, assets)), "advisory_id", "left").withColumns(zero)
     answered = F.col("dept_total") - F.col("none")
     return r.select(
         "advisory_id", "doc_no", "title", "due_at",
@@ -80,13 +89,13 @@ def remediation(advisory: DataFrame, notifications: DataFrame, as_of: AsOf) -> D
     )
 
 
-def remediation_rows(notifications: DataFrame, department: DataFrame) -> DataFrame:
-    """Reply state of every notification, with department name and label."""
+def remediation_rows(notifications: DataFrame, department: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Reply state of every notification, with department name and label. ``assets`` as in :func:`with_asset_count`."""
     dept = department.select("department_id", F.col("name").alias("department"))
-    return notifications.join(dept, "department_id", "left").select(
+    return with_asset_count(notifications, assets).join(dept, "department_id", "left").select(
         "advisory_id", "notification_id", "department_id", "department", "ack_status",
         ack_ko("ack_status").alias("ack_status_ko"), "ack_note", "ack_by", "ack_updated_at",
-        _asset_count().alias("asset_count"), "sent_at", "reminded_at", "reminder_count", "channels",
+        F.col("_assets").alias("asset_count"), "sent_at", "reminded_at", "reminder_count", "channels",
     )
 
 
@@ -259,10 +268,14 @@ def advisory_brief(
 
 # --- history -------------------------------------------------------------------------------------
 def notification_owners(
-    notifications: DataFrame, asset: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER
+    notifications: DataFrame, asset: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER, assets: DataFrame | None = None
 ) -> DataFrame:
-    """Sorted distinct owners of the assets of each notification, without the auto-deploy entry."""
-    ids = notifications.select("notification_id", F.explode("asset_ids").alias("asset_id"))
+    """Sorted distinct owners of the assets of each notification, without the auto-deploy entry. ``assets`` is the bridge table
+    ``notification_id, asset_id``; without it the lists are taken."""
+    if assets is None:
+        ids = notifications.select("notification_id", F.explode("asset_ids").alias("asset_id"))
+    else:
+        ids = assets.select("notification_id", "asset_id").join(notifications.select("notification_id"), "notification_id", "left_semi")
     owned = ids.join(asset.select("asset_id", "owner_name"), "asset_id").where(
         F.col("owner_name").isNotNull() & (F.col("owner_name") != sentinel)
     )
@@ -276,20 +289,21 @@ def owners_except(owners: Column | str, sentinel: str = AUTO_DEPLOY_OWNER) -> Co
 
 
 def history_departments(
-    notifications: DataFrame, asset: DataFrame, department: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER
+    notifications: DataFrame, asset: DataFrame, department: DataFrame, sentinel: str = AUTO_DEPLOY_OWNER,
+    assets: DataFrame | None = None,
 ) -> DataFrame:
-    """Department rows of the history roll-up: reply state and owners of every notification."""
-    owners = notification_owners(notifications, asset, sentinel)
+    """Department rows of the history roll-up: reply state and owners of every notification. ``assets`` as in :func:`with_asset_count`."""
+    owners = notification_owners(notifications, asset, sentinel, assets)
     dept = department.select("department_id", F.col("name").alias("department"))
     return (
-        notifications.join(owners, "notification_id", "left")
+        with_asset_count(notifications, assets).join(owners, "notification_id", "left")
         .join(dept, "department_id", "left")
         .select(
             "advisory_id", "notification_id", "department_id", "department",
             F.coalesce("owners", F.array().cast("array<string>")).alias("owners"),
             F.nullif(F.array_join("owners", ", "), F.lit("")).alias("owner"),
             "ack_status", ack_ko("ack_status").alias("ack_status_ko"), "ack_note", "ack_by", "ack_updated_at",
-            _asset_count().alias("asset_count"), "status", "reminder_count", "sent_at",
+            F.col("_assets").alias("asset_count"), "status", "reminder_count", "sent_at",
         )
     )
 

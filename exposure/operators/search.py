@@ -230,15 +230,19 @@ def comment_view(comments: DataFrame, department: DataFrame) -> DataFrame:
     )
 
 
-def notification_log(notifications: DataFrame, department: DataFrame, advisory: DataFrame) -> DataFrame:
-    """Notifications with labels, newest first."""
+def notification_log(
+    notifications: DataFrame, department: DataFrame, advisory: DataFrame, assets: DataFrame | None = None
+) -> DataFrame:
+    """Notifications with labels, newest first. ``assets`` as in ``rollups.with_asset_count``."""
+    from exposure.operators.rollups import with_asset_count
+
     dept = department.select("department_id", F.col("name").alias("department"))
     rows = (
-        notifications.join(dept, "department_id", "left")
+        with_asset_count(notifications, assets).join(dept, "department_id", "left")
         .join(advisory.select("advisory_id", "doc_no"), "advisory_id", "left")
         .select(
             "notification_id", "advisory_id", "department_id", "department", "channels", "message",
-            F.coalesce(F.size("asset_ids"), F.lit(0)).alias("asset_count"), "status", "ack_status",
+            F.col("_assets").alias("asset_count"), "status", "ack_status",
             ack_ko("ack_status").alias("ack_status_ko"), "ack_note", "ack_by", "ack_updated_at", "reminded_at",
             "reminder_count", "sent_at", "doc_no",
         )

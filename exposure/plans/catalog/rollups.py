@@ -44,7 +44,7 @@ _REMEDIATION = f"""
 
 @query("remediation", _REMEDIATION)
 def _(v: Views) -> DataFrame:
-    return flat(R.remediation(v.advisory, v.notification, AS_OF))
+    return flat(R.remediation(v.advisory, v.notification.drop("asset_ids"), AS_OF, v.notification_asset))
 
 
 @query("remediation_rows", f"""
@@ -52,7 +52,7 @@ def _(v: Views) -> DataFrame:
         CAST(len(n.asset_ids) AS INTEGER) AS asset_count, {ts_sql('n.sent_at')} AS sent_at, n.reminder_count, 'MAIL|WEB_UI' AS channels
     FROM x_note n LEFT JOIN x_department d USING (department_id)""")
 def _(v: Views) -> DataFrame:
-    return flat(R.remediation_rows(v.notification, v.department).drop("ack_note", "ack_by", "ack_updated_at", "reminded_at"))
+    return flat(R.remediation_rows(v.notification.drop("asset_ids"), v.department, v.notification_asset).drop("ack_note", "ack_by", "ack_updated_at", "reminded_at"))
 
 
 _SLA = f"""(SELECT a.advisory_id, {sla_sql('coalesce(r.all_done, false)')} AS sla_status FROM x_advisory a
@@ -169,7 +169,7 @@ def history(v: Views) -> DataFrame:
 
 
 def history_rows(v: Views) -> DataFrame:
-    return R.history_departments(v.notification, v.asset, v.department)
+    return R.history_departments(v.notification.drop("asset_ids"), v.asset, v.department, assets=v.notification_asset)
 
 
 @query("history_rollup", f"SELECT * FROM {_HISTORY}")
@@ -184,7 +184,7 @@ _OWNERS = """(SELECT n.notification_id, list_sort(list(DISTINCT a.owner_name)) A
 
 @query("notification_owners", f"SELECT notification_id, array_to_string(owners, '|') AS owners FROM {_OWNERS}")
 def _(v: Views) -> DataFrame:
-    return flat(R.notification_owners(v.notification, v.asset))
+    return flat(R.notification_owners(v.notification.drop("asset_ids"), v.asset, assets=v.notification_asset))
 
 
 _DEPT_ROWS = f"""(SELECT n.advisory_id, n.notification_id, n.department_id, d.name AS department,

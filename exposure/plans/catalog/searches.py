@@ -208,7 +208,7 @@ def _(v: Views) -> DataFrame:
         {ack_ko_sql('n.ack_status')} AS ack_status_ko, n.reminder_count, {ts_sql('n.sent_at')} AS sent_at, a.doc_no
     FROM x_note n LEFT JOIN x_department d USING (department_id) LEFT JOIN x_advisory a USING (advisory_id)""")
 def _(v: Views) -> DataFrame:
-    out = S.notification_log(v.notification, v.department, v.advisory)
+    out = S.notification_log(v.notification.drop("asset_ids"), v.department, v.advisory, v.notification_asset)
     return flat(out.drop("channels", "message", "ack_note", "ack_by", "ack_updated_at", "reminded_at"))
 
 

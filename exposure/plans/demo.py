@@ -214,6 +214,12 @@ class Views:
             ack.alias("ack_status"), text.alias("ack_by"), text.alias("ack_note"), ts.alias("ack_at"),
         )
 
+    @cached_property
+    def notification_asset(self) -> DataFrame:
+        """Assets of each notification, each once."""
+        rows = self.table("lineitem").selectExpr("l_orderkey * 1000000 + l_suppkey AS notification_id", "l_partkey AS asset_id")
+        return rows.distinct()
+
     @cached_property
     def notification(self) -> DataFrame:
         """One notification per (order, supplier) of the lines; several can fall to one department."""

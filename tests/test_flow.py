@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from exposure.operators.search import notification_log
 from exposure.functions.product import normalize_product
 from exposure.operators import acks as A, advisories as D, feeds as FD, matching as M, notify as N, rollups as R
 from exposure.plans.matching_run import run_matching
@@ -82,6 +83,7 @@ def test_whole_flow(spark, tmp_path):
     notes = none.unionByName(sending.select(*[c for c in sending.columns if c in none.columns]), allowMissingColumns=True)
     notes = N.apply_delivery(notes, sending.select("notification_id", F.lit(True).alias("ok")), at)
     notes = store(notes, "n")
+    bridge = store(N.notification_assets(sending, rows), "b")
     advisory = store(N.finish_sending(advisory, rows, notes, sending), "a")
     assert advisory.first().status == "COMPLETED"
     assert {r.action for r in N.plan_notifications(rows, dept, advisory, notes).collect()} == {"skip"}
@@ -91,6 +93,16 @@ def test_whole_flow(spark, tmp_path):
     ids = {r.department_id: r.notification_id for r in notes.collect()}
     replies = spark.createDataFrame([(ids[7], "DONE", "ok", "kim", 1), (ids[8], "UNABLE", "no patch", "park", 2)], "notification_id bigint, ack_status string, note string, by string, seq int").withColumn("at", at)
     notes = store(A.apply_acks(notes, replies), "n")
-    r = R.remediation(advisory, notes, AS_OF).first()
+    assert "asset_ids" not in plan.columns
+    r = R.remediation(advisory, notes, AS_OF, bridge).first()
     assert (r.dept_total, r.done, r.unable, r.done_rate, r.responded_rate, r.sla_status, r.d_day, r.asset_total, r.asset_done) == (2, 1, 1, 50, 100, "DONE", 2, 2, 1)
     assert N.due_reminders(advisory, notes, AS_OF).count() == 0
+    lists = bridge.groupBy("notification_id").agg(F.sort_array(F.collect_set("asset_id")).alias("asset_ids"))
+    listed = notes.drop("asset_ids").join(lists, "notification_id", "left")
+    for by_bridge, by_list in (
+        (R.remediation(advisory, notes, AS_OF, bridge), R.remediation(advisory, listed, AS_OF)),
+        (R.remediation_rows(notes, dept, bridge), R.remediation_rows(listed, dept)),
+        (R.history_departments(notes, asset, dept, assets=bridge), R.history_departments(listed, asset, dept)),
+        (notification_log(notes.withColumn("message", F.lit("m")), dept, advisory, bridge), notification_log(listed.withColumn("message", F.lit("m")), dept, advisory)),
+    ):
+        assert by_bridge.collect() and sorted(by_bridge.collect(), key=str) == sorted(by_list.collect(), key=str)
