@@ -14,6 +14,7 @@ from exposure.operators.matching import (
     resolve_pending, set_match_status,
 )
 from exposure.plans.catalog.registry import query
+from exposure.plans.delta_run import run_matching_delta
 from exposure.plans.demo import Views
 from exposure.plans.exposure_report import department_exposure
 from exposure.plans.matching_run import run_matching
@@ -155,6 +156,40 @@ def _(v: Views) -> DataFrame:
     return r["matches"].select("advisory_id", "cve_id_text", "asset_id", "reason.candidate", "status", "ack_status")
 
 
+@query("run_matching_delta", f"""
+    WITH passed AS (SELECT advisory_id FROM x_gate JOIN x_advisory s USING (advisory_id) WHERE can_proceed AND s.status <> 'EXTRACTING'),
+    now AS (SELECT advisory_id, cve_id_text, asset_id, candidate, suggested_exclude FROM x_match SEMI JOIN passed USING (advisory_id)),
+    before AS (SELECT k.advisory_id, k.cve_id_text, a.asset_id, coalesce(r.is_active, false) AS suggested_exclude
+        FROM x_code k SEMI JOIN passed USING (advisory_id) JOIN x_cve c ON c.cve_id = k.cve_id_text
+        JOIN x_asset a ON a.product_key = c.product_key LEFT JOIN x_rule r ON r.asset_id = a.asset_id AND r.is_active
+        WHERE a.asset_id % 10 = 4 AND a.status <> 'RETIRED' AND k.advisory_id % 7 <> 0 AND c.cve_id NOT LIKE '%7'),
+    lost AS (SELECT * FROM before ANTI JOIN now USING (advisory_id, cve_id_text, asset_id)),
+    seen AS (SELECT *, true AS touched FROM now UNION ALL
+        SELECT advisory_id, cve_id_text, asset_id, true, suggested_exclude, false FROM lost)
+    SELECT coalesce(o.advisory_id, n.advisory_id) AS advisory_id, coalesce(o.cve_id_text, n.cve_id_text) AS cve_id_text,
+        coalesce(o.asset_id, n.asset_id) AS asset_id, coalesce(n.candidate, o.candidate) AS candidate,
+        coalesce(n.suggested_exclude, o.suggested_exclude) AS suggested_exclude, coalesce(o.status, 'MATCHED') AS status,
+        coalesce(o.ack_status, 'NONE') AS ack_status, coalesce(n.touched, false) AS touched
+    FROM {_STORED} o FULL JOIN seen n
+        ON o.advisory_id = n.advisory_id AND o.cve_id_text = n.cve_id_text AND o.asset_id = n.asset_id""")
+def _(v: Views) -> DataFrame:
+    """A run over earlier tables, then one over today's: some advisories, assets and exclusions are new, some assets have
+    told their version since, some CVEs have moved to another product."""
+    blank = F.col("asset_id") % 10 == 4
+    asset = v.asset.where("asset_id % 10 <> 3").withColumns({
+        c: F.when(~blank, F.col(c)) for c in ("version_norm", "version_raw")
+    })
+    cve = v.cve.withColumn("product_key", F.when(F.col("cve_id").endswith("7"), "another").otherwise(F.col("product_key")))
+    rules = v.exclusion_rule.withColumn("is_active", F.col("is_active") & (F.col("asset_id") % 4 != 1))
+    first = run_matching_delta(v.advisory, v.codes.where("advisory_id % 7 <> 0"), cve, asset, _stored(v), rules)
+    second = run_matching_delta(
+        v.advisory, v.codes, v.cve, v.asset, first["matches"], v.exclusion_rule, first["links"], first["assets"]
+    )
+    return second["matches"].select(
+        "advisory_id", "cve_id_text", "asset_id", "reason.candidate", "reason.suggested_exclude", "status", "ack_status", "touched"
+    )
+
+
 @query("run_matching", """
     SELECT a.advisory_id, CASE WHEN g.can_proceed AND a.status IN ('EXTRACTED', 'NEEDS_CVE_UPDATE') THEN 'MATCHED' ELSE a.status END AS status,
         coalesce(m.n, 0) AS matches

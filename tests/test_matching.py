@@ -143,3 +143,73 @@ def test_slices_of_a_product_change_no_verdict(spark):
     enum = [r for r in rows() if r[0] == "q"]
     assert {(a, b): c for _, _, a, b, c in enum}[("1.2", "2.0")] is False and {(a, b): c for _, _, a, b, c in enum}[("x", "")] is True
     assert ("x", "2.0") not in {(a, b) for _, _, a, b, _ in enum}
+
+
+def test_delta_run_equals_whole_run(spark, tables, tmp_path, monkeypatch):
+    """A chain of states: after each, the delta run leaves what a whole run would leave."""
+    from exposure.plans import delta_run as D
+    from exposure.sources.sinks import buckets_in, read_buckets, write_buckets
+
+    cve, asset, codes = tables
+    adv = spark.createDataFrame([(i, s) for i, s in ((1, "EXTRACTED"), (2, "NOTIFYING"), (3, "NEEDS_CVE_UPDATE"), (5, "EXTRACTED"))], "advisory_id bigint, status string")
+    rules = spark.createDataFrame([(4, "chrome", True), (5, "chrome", False)], "asset_id bigint, product_key string, is_active boolean")
+
+    def but(df, column, value, when):
+        return df.withColumn(column, F.when(F.expr(when), F.lit(value)).otherwise(F.col(column)))
+
+    known = codes.unionByName(spark.createDataFrame([(5, "CVE-2024-0003", "FOUND")], codes.schema)).where("cve_id_text <> 'CVE-2030-0001'")
+    other_rule = cve.withColumn("version_rule", F.when(F.col("cve_id") == "CVE-2024-0003", parse_version_rule(F.lit('["99"]'))).otherwise(F.col("version_rule")))
+    states = [
+        (codes, cve, asset.where("asset_id <> 3"), rules),
+        # a new asset, one that is no longer affected, a CVE of another product
+        (codes, but(cve, "product_key", "edge", "cve_id = 'CVE-2024-0001'"),
+         but(but(asset, "version_norm", "2025", "asset_id = 1"), "version_raw", "2025", "asset_id = 1"), rules),
+        (known, other_rule, but(asset, "status", "RETIRED", "asset_id = 9"), but(rules, "is_active", True, "asset_id = 5")),
+        (known.where("advisory_id <> 2"), other_rule, asset, rules),  # an advisory without codes, an asset in use again
+    ]
+    none = spark.createDataFrame([], OLD)
+    whole, delta, marks = none, none, (None, None)
+    for codes_now, cve_now, asset_now, rules_now in states:
+        want = run_matching(adv, codes_now, cve_now, asset_now, whole, rules_now)
+        got = D.run_matching_delta(adv, codes_now, cve_now, asset_now, delta, rules_now, *marks)
+        # an analyst decides between the runs
+        whole = D.store(but(want["matches"], "status", "EXCLUDED", "asset_id = 4"), "whole")
+        delta = D.store(but(got["matches"], "status", "EXCLUDED", "asset_id = 4"), "delta")
+        marks = got["links"], got["assets"]
+        a, b = delta.drop("touched"), whole
+        assert a.count() == b.count() > 0 and a.exceptAll(b.select(*a.columns)).isEmpty()
+        for name in ("advisory", "blocked", "stats") if asset_now is asset else ():
+            assert sorted(got[name].collect()) == sorted(want[name].select(*got[name].columns).collect()), name
+
+    # nothing changed: nothing is judged and nothing is written
+    judged = []
+    whole_join = D.match_assets
+    monkeypatch.setattr(D, "match_assets", lambda *t: judged.extend(x.count() for x in t) or whole_join(*t))
+    again = D.run_matching_delta(adv, codes_now, cve_now, asset_now, delta, rules_now, *marks)
+    assert not any(judged) and again["changes"].isEmpty() and again["matches"].exceptAll(delta).isEmpty()
+    path = str(tmp_path / "matches")
+    write_buckets(delta, path, M.MATCH_KEY)
+    assert D.store_changes(spark, path, again["changes"]) == []
+
+    # one changed asset: its pairs alone are judged, its buckets alone are written
+    judged.clear()
+    moved = but(asset_now, "version_raw", "123", "asset_id = 4")
+    one = D.run_matching_delta(adv, codes_now, cve_now, moved, delta, rules_now, *marks)
+    assert judged[-1] == 1 and {r.asset_id for r in one["changes"].collect()} == {4}
+    files = {str(p) for p in (tmp_path / "matches" / "data").rglob("*.parquet")}
+    written = D.store_changes(spark, path, one["changes"])
+    new = {p.parent.name for p in (tmp_path / "matches" / "data").rglob("*.parquet") if str(p) not in files}
+    assert sorted(written) == sorted(buckets_in(one["changes"], M.MATCH_KEY)) and new == {f"bucket={b}" for b in written}
+    left, right = read_buckets(spark, path).select(*one["matches"].columns), one["matches"]
+    assert left.count() == right.count() and left.exceptAll(right).isEmpty()
+
+    # links whose matches were deleted are forgotten, so that they are found anew
+    removed = spark.createDataFrame([(1, "CVE-2024-0004")], "advisory_id bigint, cve_id_text string")
+    cut = M.cascade_delete(delta, removed)
+    back = D.run_matching_delta(adv, codes_now, cve_now, asset_now, cut, rules_now, D.forget_links(marks[0], removed), marks[1])
+    keys = M.MATCH_KEY
+    touched = delta.where("touched").select(*keys)
+    assert touched.exceptAll(back["matches"].select(*keys)).isEmpty() and cut.count() < back["matches"].count()
+    # tables without rows
+    empty = D.run_matching_delta(adv.limit(0), codes.limit(0), cve.limit(0), asset.limit(0), none, rules.limit(0))
+    assert empty["matches"].isEmpty() and empty["stats"].isEmpty() and empty["links"].isEmpty()
