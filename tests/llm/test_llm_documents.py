@@ -443,3 +443,48 @@ def test_spellings_of_a_span_look_alike(kind, one, other):
     """The features tell nothing about the separators, the at sign or a plus before the span."""
     seen = [pii.describe(f"call {sign}{span} now", kind, 5 + len(sign), 5 + len(sign) + len(span)) for span in (one, other) for sign in ("", "+")]
     assert all(x == seen[0] for x in seen)
+
+
+def luhn_number(say: random.Random) -> str:
+    head = "4" + "".join(say.choice("0123456789") for _ in range(14))
+    return next(head + d for d in "0123456789" if pii.luhn(head + d))
+
+
+def test_trees_add_other_spellings_and_nothing_else(spark):
+    """Learned from texts that hold base spans only; no text below holds one."""
+    say = random.Random(4)
+    told = []
+    for i in range(400):
+        spans = [f"{say.choice(('ann', 'bo.li', 'kim'))}.{say.randrange(99)}@mail{i % 9}.example.com", luhn_number(say),
+                 f"+1 ({say.randrange(200, 999)}) 555-{say.randrange(10000):04d}", ".".join(str(say.randrange(1, 255)) for _ in range(4))]
+        told.append((i, " und ".join(f"{say.choice(('the', 'onhe', 'erich'))} {s}" for s in say.sample(spans, 3)) + " ok"))
+    judge = pii.learn(spark.createDataFrame(told, "doc_id bigint, text string"))
+    wanted = [
+        ("email", "john.smith [at] example.com"), ("email", "jo(at)mail.example.org"), ("ip", "192-168-10-17"), ("ip", "192[.]168[.]10[.]17"),
+        ("phone", "1 544 555 8128"), ("phone", "(544) 555-8128"), ("phone", "1-544-555-8128"),
+        ("card", "4111/1111/1111/1111"), ("card", "4111.1111.1111.1111"),
+    ]
+    clean = [
+        "2024-05-17 10:30", "17.05.2024", "4000123456", "10.2.1045.300", "192-168-10-300", "4111.1111.1111.1112", "4111/1111/1111/1112", "1-2-3-4",
+        "3 [at] 5pm", "me @ home", "x@y", "9859476043669043", "0004-2021-00017", "a1b2@c3d4e5f6",
+    ]
+    texts = [f"the {s} ok" for _, s in wanted] + [f"the {s} ok" for s in clean]
+    got = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), judge).collect()
+    spans = {r.doc_id: r.spans for r in got}
+    assert [spans[i] for i in range(len(wanted))] == [f"{k}:4:{4 + len(s)}" for k, s in wanted]
+    assert {texts[i]: spans[i] for i in range(len(wanted), len(texts)) if spans[i]} == {}
+    assert all(r.base == "" and r.n_email + r.n_ip + r.n_card + r.n_phone == 0 for r in got)
+    assert {r.redacted for r in got[: len(wanted)]} == {f"the [{k.upper()}] ok" for k in pii.KINDS}
+
+
+def test_lessons_hold_both_labels_and_rewritten_spans_are_no_base_spans():
+    say = random.Random(5)
+    for _ in range(200):
+        spans = {"email": f"a{say.randrange(99)}.b@c{say.randrange(9)}.d4.e5", "card": luhn_number(say), "phone": "+1 (544) 555-0123", "ip": "10.20.30.4"}
+        for kind, span in spans.items():
+            for turn in range(24):
+                right, wrong = pii.respelled(kind, span, turn), pii.decoy(kind, span, turn)
+                assert kind not in {k for k, _, _ in pii.base_spans(f"x {right} y")} | {k for k, _, _ in pii.base_spans(f"x {wrong} y")}, (right, wrong)
+        rows = pii.lessons(" , ".join(spans.values()))
+        assert {r for _, r, _ in rows} == {0, 1} and len({len(x) for _, _, x in rows}) == 1
+    assert pii.lessons("") == [] and pii.lessons("9" * 100_000 + "@") == pii.lessons("9" * 100_000 + "@")
