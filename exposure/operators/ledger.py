@@ -15,6 +15,7 @@ from exposure.functions.grid import CellSpec, col_letter, resolve_cell
 from exposure.functions.product import normalize_product, split_product_version
 from exposure.functions.text import any_of, blank_to_null, is_blank, let, strip
 from exposure.functions.version import normalize_version
+from exposure.operators.ranks import dense_ids
 from exposure.operators.skew import first_per
 from exposure.operators.state import upsert
 
@@ -291,7 +292,7 @@ def commit_assets(
 
     Keys are asset number and department name. ``mode='replace'`` starts from an empty asset table. The last
     row of an asset number wins, and the earlier ones are reported. Where the tables have ``department_id`` and ``asset_id``,
-    new rows get one (see :func:`with_keys`); write the results before they are used, as new ids are given on every run.
+    new rows get one (see :func:`with_keys`); the ids follow from the names, so they are the same at every evaluation.
     """
     rows = with_issues(map_rows(body, mapping), department, create_departments)
     good = loadable(rows, on_warning)
@@ -320,15 +321,16 @@ def commit_assets(
 
 
 def _new_ids(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Ids above those of ``table``, unique but not gapless."""
+    """Ids above those of ``table``, gapless in the order of the names."""
     last = table.agg(F.max(key)).first()[0] or 0
-    return rows.withColumn(key, (F.monotonically_increasing_id() + (last + 1)).cast(table.schema[key].dataType))
+    return dense_ids(rows, key, ["name"], last).withColumn(key, F.col(key).cast(table.schema[key].dataType))
 
 
 def with_keys(asset: DataFrame, department: DataFrame) -> DataFrame:
     """A loaded asset table with ``asset_id`` and ``department_id``, ready for matching.
 
-    Assets that have an id keep it, others get a new one; the department's id follows from its name, which is unique.
+    Assets that have an id keep it, others get the next ones in the order of their numbers; the department's id follows from its
+    name, which is unique.
     ``department`` is the stored table that :func:`commit_assets` returned.
     """
     named = department.select(F.col("name").alias("department"), F.col("department_id").alias("_department_id"))
@@ -338,7 +340,8 @@ def with_keys(asset: DataFrame, department: DataFrame) -> DataFrame:
     if "asset_id" not in asset.columns:
         rows = rows.withColumn("asset_id", F.lit(None).cast("bigint"))
     last = rows.agg(F.max("asset_id")).first()[0] or 0
-    return rows.withColumn("asset_id", F.coalesce("asset_id", F.monotonically_increasing_id() + (last + 1)))
+    new = dense_ids(rows.where("asset_id IS NULL"), "asset_id", ["asset_no"], last)
+    return rows.where("asset_id IS NOT NULL").unionByName(new)
 
 
 def saved_mapping(mappings: DataFrame, name: str) -> dict[str, object]:

@@ -17,6 +17,7 @@ from exposure.constants import (
 )
 from exposure.functions.deadlines import d_day
 from exposure.functions.messages import message_frame, message_line
+from exposure.operators.ranks import dense_ids
 from exposure.operators.skew import first_per
 from exposure.operators.state import overlay
 
@@ -258,12 +259,12 @@ def plan_notifications(
 def planned_rows(plan: DataFrame, last_id: int) -> DataFrame:
     """Notification rows of a plan, with its texts and lists where it has them: a new id above ``last_id`` for ``send``, the failed row's id for ``retry``.
 
-    New ids are unique but not gapless; write the rows before they are used, as ids are given anew on every run.
+    New ids are gapless in the order of advisory and department, so they are the same at every evaluation.
     """
-    todo = plan.where("action <> 'skip'")
-    fresh = F.monotonically_increasing_id() + (last_id + 1)
-    return todo.select(
-        F.coalesce("existing_id", fresh).alias("notification_id"), *GROUP, "channels",
+    fresh = dense_ids(plan.where("action NOT IN ('skip', 'retry')"), "notification_id", GROUP, last_id)
+    retried = plan.where("action = 'retry'").withColumn("notification_id", F.col("existing_id"))
+    return fresh.unionByName(retried.select(*fresh.columns)).select(
+        "notification_id", *GROUP, "channels",
         *[c for c in ("message", "asset_ids") if c in plan.columns],
         "idempotency_key", F.lit("PENDING").alias("status"), F.lit("NONE").alias("ack_status"),
         F.lit(0).alias("reminder_count"),

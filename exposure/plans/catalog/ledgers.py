@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from exposure.functions.grid import letter_to_idx
 from exposure.operators import ledger as L
+from exposure.operators.matching import match_assets
 from exposure.plans.catalog.registry import flat, query
-from exposure.plans.catalog.views_sql import product_key_sql, product_sql
+from exposure.plans.catalog.views_sql import VIEWS, product_key_sql, product_sql
 from exposure.plans.demo import Views
+from exposure.session import store
 
 # One merged range starts at every customer's row, 31 rows deep for the richer ones; the one that starts last wins.
 _FILLED = """
@@ -186,3 +188,41 @@ def _(v: Views) -> DataFrame:
     body = L.body_rows(same, L.detect_header_row(same))
     out = L.commit_assets(body, MAPPING, _stored_assets(v), v.department)
     return out["warnings"].where("issue = 'DUPLICATE_ASSET_NO'").drop("sheet")
+
+
+_KEYED = f"""
+    arrived AS MATERIALIZED (SELECT * FROM {_MAPPED} WHERE department IS NOT NULL),
+    named AS (SELECT department_id, name FROM x_department UNION ALL
+        SELECT (SELECT max(department_id) FROM x_department) + row_number() OVER (ORDER BY name), name
+        FROM (SELECT DISTINCT department AS name FROM arrived WHERE department NOT IN (SELECT name FROM x_department))),
+    joint AS (SELECT coalesce(m.asset_no, a.asset_no) AS asset_no, a.asset_id AS old_id, m.asset_no IS NOT NULL AS fresh,
+            coalesce(m.department, d.name) AS name, CASE WHEN m.asset_no IS NULL THEN a.product_key ELSE m.product_key END AS product_key,
+            CASE WHEN m.asset_no IS NULL THEN a.version_norm ELSE coalesce(m.version_raw, '') END AS version_norm,
+            CASE WHEN m.asset_no IS NULL THEN a.version_raw ELSE m.version_raw END AS version_raw,
+            CASE WHEN m.asset_no IS NULL THEN a.status ELSE 'NORMAL' END AS status
+        FROM arrived m FULL JOIN x_asset a ON a.asset_no = m.asset_no LEFT JOIN x_department d ON d.department_id = a.department_id),
+    keyed AS MATERIALIZED (SELECT j.*, n.department_id, coalesce(old_id,
+            (SELECT max(asset_id) FROM x_asset) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY asset_no)) AS asset_id
+        FROM joint j LEFT JOIN named n USING (name))"""
+
+
+@query("ledger_to_matches", f"""
+    WITH {_KEYED}, pair AS ({VIEWS["x_pair"].replace("x_asset", "keyed")}),
+    hits AS (SELECT p.asset_id, count(*) AS matches, count(*) FILTER (NOT (p.vn = 1 OR p.vr = 1)) AS candidates
+        FROM x_code c JOIN pair p ON p.cve_id = c.cve_id_text GROUP BY 1)
+    SELECT k.asset_id, k.asset_no, CAST(k.department_id AS BIGINT) AS department_id, coalesce(h.matches, 0) AS matches,
+        coalesce(h.candidates, 0) AS candidates
+    FROM keyed k LEFT JOIN hits h USING (asset_id)""")
+def _(v: Views) -> DataFrame:
+    """From the cells of the ledgers to matches: loaded assets and new departments get ids, then the core join runs on them."""
+    named = v.department.select("department_id", F.col("name").alias("department"))
+    stored = v.asset.join(named, "department_id", "left").drop("department_id").withColumns(
+        {"import_batch_id": F.lit(None).cast("bigint"), "extra": F.lit(None).cast("map<string,string>")}
+    )
+    out = L.commit_assets(_body(v), MAPPING, stored, v.department)
+    asset = store(L.with_keys(out["asset"], out["department"]), "keyed")
+    hits = match_assets(v.codes, v.cve, asset).groupBy("asset_id").agg(
+        F.count("*").alias("matches"), F.count_if("reason.candidate").alias("candidates")
+    )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("matches", "candidates")}
+    return asset.select("asset_id", "asset_no", F.col("department_id").cast("bigint").alias("department_id")).join(hits, "asset_id", "left").withColumns(zero)

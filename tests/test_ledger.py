@@ -135,7 +135,24 @@ def test_loaded_ledgers_have_keys(spark):
     out = L.commit_assets(L.body_rows(lines(spark), header), MAP, stored, dept)
     department = store(out["department"], "d")
     ids = {r.name: r.department_id for r in department.collect()}
-    assert ids["D1"] == 3 and ids["D9"] > 3
+    assert ids["D1"] == 3 and sorted(ids.values()) == list(range(3, 3 + len(ids)))
     got = {r.asset_no: r for r in store(L.with_keys(out["asset"], department), "a").collect()}
     assert got["A"].asset_id == 9 and len({r.asset_id for r in got.values()}) == len(got) and min(r.asset_id for r in got.values()) == 9
     assert {n: got[n].department_id for n in ("A", "D", "E")} == {"A": 3, "D": ids["D9"], "E": 3}
+    # new ids follow the asset numbers without gaps, at every evaluation
+    new = sorted(n for n in got if n != "A")
+    assert [got[n].asset_id for n in new] == list(range(10, 10 + len(new)))
+    assert {r.asset_no: r.asset_id for r in L.with_keys(out["asset"], out["department"]).collect()} == {n: r.asset_id for n, r in got.items()}
+
+
+def test_dense_ids(spark):
+    from exposure.operators.ranks import dense_ids
+
+    keys = [(a, b) for a in (None, 1, 2) for b in (None, *"xyz")] + [(3, f"{i:04d}") for i in range(2000)]
+    rows = spark.createDataFrame(keys, "a int, b string")
+    want = {k: 8 + i for i, k in enumerate(sorted(keys, key=lambda k: tuple((x is not None, x) for x in k)))}
+    for cut in (rows, rows.repartition(7, "b"), rows.coalesce(1)):
+        got = dense_ids(cut, "id", ["a", "b"], 7)
+        assert {(r.a, r.b): r.id for r in got.collect()} == want and got.columns == ["a", "b", "id"]
+    assert dense_ids(rows.limit(0), "id", ["a"]).collect() == []
+    assert {r.id for r in dense_ids(rows.withColumn("id", F.lit(None)), "id", ["a", "b"]).collect()} == set(range(1, len(keys) + 1))
