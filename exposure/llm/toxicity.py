@@ -4,36 +4,57 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bound of the training sample: labelled documents of each class, taken by a hash of their id.
-SAMPLE = 2000
+# Bound of the training sample: labelled documents of each class, taken by a hash of their id, and characters of each that
+# are learnt from. Scores are of whole texts.
+SAMPLE, LEARNT = 2000, 20_000
 # Folds of the sample: this many tenths teach words and tags, the rest calibrate the document score.
 TAG_TENTHS = 7
-# A feature speaks for toxicity if it stands in this many toxic documents and this share of its occurrences is toxic.
+# A feature speaks for toxicity if it has this many occurrences in toxic documents and this share of all is toxic.
 SEEN, PURE = 6, 0.95
-WINDOW = 24
+# Windows that tags are learnt from: those with a telling word, and one in so many of the others.
+WINDOW, OTHERS = 24, 8
+# Features of the field: likelihood ratio against the tags at least this (one in a thousand by chance), the best so many.
+RATIO, MOST = 10.83, 5000
+# Times that toxic documents are tagged anew by the field and learnt again.
+ANEW = 1
 FAINT = 0.1
 # Words whose emission a Python worker remembers; the memory is emptied when it is full.
 REMEMBERED = 100_000
 
-# Texts that a task tags at once.
-AT_ONCE = 1024
+# Characters of the texts that a task tags at once; a longer text is tagged by itself.
+AT_ONCE = 2_000_000
 
 TOKEN = re.compile(r"\w+")
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings; the word itself also stands for rarer forms of the same stem."""
-    word = word.lower()
-    return [f"w={word}", *[f"{n}={word[:n]}" for n in (3, 4, 5, 6) if len(word) >= n]]
+@lru_cache(maxsize=REMEMBERED)
+def features(word: str) -> tuple[str, ...]:
+    """The word and its beginnings, which stand for rarer forms of the same stem, and its shape."""
+    small = word.lower()
+    return (f"w={small}", *[f"{n}={small[:n]}" for n in range(3, 9) if len(small) >= n], f"s={shape(word)}")
+
+
+def shape(word: str) -> str:
+    return "0" if word.isdigit() else "A" if len(word) > 1 and word.isupper() else "Aa" if word[0].isupper() else "a"
+
+
+@lru_cache(maxsize=REMEMBERED)
+def beside(word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """What a word says of its next and of its previous neighbour: itself, its stem and its shape."""
+    own = features(word)
+    told = [f for f in own if f[:2] in ("w=", "4=", "s=")]
+    return tuple(f"<{f}" for f in told), tuple(f">{f}" for f in told)
 
 
 def chain_odds(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: float) -> np.ndarray:
@@ -75,35 +96,55 @@ class Crf:
     # document score: logistic in the summary of the marginals
     doc: np.ndarray = field(default_factory=lambda: np.array([-2.0, 0.0, 0.0, 0.0]))
 
-    def emission(self, word: str) -> float:
-        return math.exp(min(30.0, max(-30.0, self.bias + sum(self.weights.get(f, 0.0) for f in features(word)))))
+    def scores(self, word: str) -> tuple[float, float, float]:
+        """What a word adds to the score of its own place, of the next one and of the previous one."""
+        ahead, back = beside(word)
+        return tuple(sum(self.weights.get(f, 0.0) for f in told) for told in (features(word), ahead, back))
 
 
 class Emissions(dict):
-    """Emission of each word met so far."""
+    """Numbers of the words met so far, with a table of their scores. A word that begins as no feature of the model does is
+    scored by its shape alone."""
 
     def __init__(self, model: Crf):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
+        self.model, self.table = model, array("d")
+        self.begins = {f.split("=", 1)[1][:3] for f in model.weights if "s=" not in f[:3]}
+        self.plain: dict[str, tuple[float, float, float]] = {}
+        for kind in ("0", "A", "Aa", "a"):
+            self.plain[kind] = tuple(model.weights.get(f"{side}s={kind}", 0.0) for side in ("", "<", ">"))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        known = word[:3].lower() in self.begins or word.lower()[:3] in self.begins
+        self.table.extend(self.model.scores(word) if known else self.plain[shape(word)])
+        return number
+
+    def shrink(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = value = self.model.emission(word)
-        return value
+            del self.table[:]
 
 
-def marginals(model: Crf, texts: Iterable[str], memory: Emissions) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of a toxic tag for every token of all texts, one after the other, and the number of tokens of each text."""
+def marginals(model: Crf, texts: Iterable[list[str]], memory: Emissions) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of a toxic tag for every token of all texts (lists of words), one after the other, and the number of tokens
+    of each text."""
+    memory.shrink()
     parts, lengths = [], []
-    for text in texts:
-        words = TOKEN.findall(text)
+    for words in texts:
         lengths.append(len(words))
-        parts.append(np.fromiter(map(memory.__getitem__, words), np.float64, len(words)))
-    unary = np.concatenate(parts) if parts else np.empty(0)
+        parts.append(np.fromiter(map(memory.__getitem__, words), np.int64, len(words)))
+    ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    own, ahead, back = np.array(memory.table).reshape(-1, 3)[ids].T
     lengths = np.array(lengths, np.int64)
     starts = np.cumsum(lengths) - lengths
-    odds = chain_odds(unary, starts, lengths, np.exp(model.trans), 1.0)
+    inner = np.ones(len(ids), bool)
+    inner[starts[lengths > 0]] = False
+    after = np.flatnonzero(inner)
+    total = own + model.bias
+    total[after] += ahead[after - 1]
+    total[after - 1] += back[after]
+    odds = chain_odds(np.exp(np.clip(total, -30, 30)), starts, lengths, np.exp(model.trans), 1.0)
     return odds / (1 + odds), lengths
 
 
@@ -145,17 +186,17 @@ def _log_chance(hits: int, misses: int, share: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
-def label_tokens(texts: list[str], toxic: np.ndarray) -> tuple[list[tuple[list[str], np.ndarray]], set[str]]:
-    """Token labels from document labels: a token of a toxic document is toxic if one of its features stands almost only in
-    toxic documents, counted by document and weighed by class size.
+def label_tokens(documents: list[list[str]], toxic: np.ndarray) -> tuple[list[np.ndarray], set[str]]:
+    """First tags from document labels: a token of a toxic document is toxic if one of its features stands almost only in
+    toxic documents, counted by the different words of a document that have it and weighed by class size.
 
     Copies of a toxic document repeat its harmless words too. So a feature must also have stood after ``SEEN`` different
-    words in toxic documents, which a word of a copied passage has not.
+    words in toxic documents, and oftener than chance explains, which a word of a copied passage has not.
     """
     counts = (Counter(), Counter())
-    documents = [[w.lower() for w in TOKEN.findall(text)] for text in texts]
     for words, bad in zip(documents, toxic, strict=True):
-        counts[int(bad)].update({f for w in set(words) for f in features(w)})
+        for word in {w.lower() for w in words}:
+            counts[int(bad)].update(features(word))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     odds = PURE / (1 - PURE) * n1 / n0
     telling = {f for f, c1 in counts[1].items() if c1 >= SEEN and c1 >= odds * counts[0][f]}
@@ -164,34 +205,63 @@ def label_tokens(texts: list[str], toxic: np.ndarray) -> tuple[list[tuple[list[s
         if bad:
             for before, word in zip(["", *words], words, strict=False):
                 for f in telling.intersection(features(word)):
-                    after[f].add(before)
+                    after[f].add(before.lower())
     # so many features were looked at; with this level less than one harmless one passes by chance
     level = math.log(0.5 / max(1, sum(c >= SEEN for c in counts[1].values())))
     share = n1 / (n1 + n0)
     found = {f for f, words in after.items() if len(words) >= SEEN and _log_chance(len(words), counts[0][f], share) < level}
-    sequences = []
-    for words, t in zip(documents, toxic, strict=True):
-        sequences.append((words, np.array([bool(t) and not found.isdisjoint(features(w)) for w in words], np.int8)))
-    return sequences, found
-
-
-def train_tags(sequences: list[tuple[list[str], np.ndarray]], bad: set[str], rounds: int = 60, rate: float = 0.5) -> Crf:
-    """Weights by gradient ascent on the conditional log-likelihood of the tags, over windows around tokens that have a
-    telling feature and as many others; the feature set is fixed beforehand, so a round is a few array operations."""
-    vocabulary = {f: i for i, f in enumerate(sorted(bad))}
-    ids, tags, lengths = [], [], []
-    for words, tag in sequences:
-        known = [[vocabulary[f] for f in features(w) if f in vocabulary] for w in words]
-        told = [i for i, k in enumerate(known) if k]
-        begins = sorted({i // WINDOW * WINDOW for i in told} | ({0} if words else set()))
-        for b in begins:
-            ids += known[b : b + WINDOW]
-            tags.append(tag[b : b + WINDOW])
-            lengths.append(len(tags[-1]))
-    if not ids:
+    tags = [
+        np.fromiter((bool(bad) and not found.isdisjoint(features(w)) for w in words), np.int8, len(words))
+        for words, bad in zip(documents, toxic, strict=True)
+    ]
+    return tags, found
+
+
+def _windows(documents: list[list[str]], tags: list[np.ndarray], found: set[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Stretches around telling or toxic tokens, and the first and one in ``OTHERS`` of the other stretches of each document."""
+    for words, tag in zip(documents, tags, strict=True):
+        told = {i // WINDOW for i, w in enumerate(words) if tag[i] or not found.isdisjoint(features(w))}
+        for k in range((len(words) + WINDOW - 1) // WINDOW):
+            if k in told or k % OTHERS == 0:
+                yield words[k * WINDOW : (k + 1) * WINDOW], tag[k * WINDOW : (k + 1) * WINDOW]
+
+
+def _features_of(words: list[str]) -> list[tuple[str, ...]]:
+    """Features of each place: those of its word and of its neighbours within the window."""
+    ahead = [(), *[beside(w)[0] for w in words[:-1]]]
+    back = [*[beside(w)[1] for w in words[1:]], ()]
+    return [features(w) + a + b for w, a, b in zip(words, ahead, back, strict=True)]
+
+
+def _choose(windows: list[tuple[list[str], np.ndarray]]) -> list[str]:
+    """Features, of either sign, whose presence tells of the tag by the likelihood-ratio test over all tokens of the windows."""
+    counts = (Counter(), Counter())
+    for words, tag in windows:
+        for told, t in zip(_features_of(words), tag, strict=True):
+            counts[t].update(told)
+    size = np.array([sum(len(t) - int(t.sum()) for _, t in windows), sum(int(t.sum()) for _, t in windows)], float)
+    names = sorted(f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= SEEN)
+    if not names or not size.all():
+        return []
+    seen = np.array([[counts[0][f], counts[1][f]] for f in names], float)
+    both = np.concatenate([seen, size - seen], axis=1)
+    expect = np.concatenate([part.sum(axis=1, keepdims=True) * size / size.sum() for part in (seen, size - seen)], axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * np.where(both > 0, both * np.log(both / expect), 0.0).sum(axis=1)
+    best = np.argsort(-ratio, kind="stable")[:MOST]
+    return [names[i] for i in best if ratio[i] >= RATIO]
+
+
+def train_tags(documents: list[list[str]], labels: list[np.ndarray], found: set[str], rounds: int = 60, rate: float = 0.5) -> Crf:
+    """Weights by gradient ascent on the conditional log-likelihood of the tags over the windows. The features are fixed
+    beforehand, those of clean words among them, so a round is a few array operations."""
+    windows = list(_windows(documents, labels, found))
+    vocabulary = {f: i for i, f in enumerate(_choose(windows))}
+    if not vocabulary:
         return Crf()
-    y = np.concatenate(tags).astype(np.float64)
-    lengths = np.array(lengths, np.int64)
+    ids = [[vocabulary[f] for f in told if f in vocabulary] for words, _ in windows for told in _features_of(words)]
+    y = np.concatenate([t for _, t in windows]).astype(np.float64)
+    lengths = np.array([len(t) for _, t in windows], np.int64)
     starts = np.cumsum(lengths) - lengths
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     col = np.array([c for x in ids for c in x], np.int64)
@@ -239,18 +309,29 @@ def _pairs(unary, starts, lengths, pot, after, p) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: np.ndarray, folds: np.ndarray) -> Crf:
-    """Tags are learnt on folds below ``TAG_TENTHS``, the document score on the others (on all if one side is empty)."""
+    """Tags are learnt on folds below ``TAG_TENTHS``, the document score on the others (on all if one side is empty).
+
+    The first tags are those of telling features; the field then tags the toxic documents itself, by all its features, and
+    learns again from its own tags. Clean documents hold no toxic tag throughout.
+    """
     toxic = np.asarray(toxic, np.int64)
     if not len(texts) or not toxic.any():
         return Crf()
     tag = folds < TAG_TENTHS
     if not toxic[tag].any() or not (1 - toxic[tag]).any():
         tag = np.ones(len(texts), bool)
-    sequences, bad = label_tokens([t for t, k in zip(texts, tag, strict=True) if k], toxic[tag])
-    model = train_tags(sequences, bad)
+    documents = [TOKEN.findall(t) for t in texts]
+    taught = [d for d, k in zip(documents, tag, strict=True) if k]
+    labels, found = label_tokens(taught, toxic[tag])
+    model = train_tags(taught, labels, found)
+    for _ in range(ANEW):
+        p, lengths = marginals(model, taught, Emissions(model))
+        cuts = np.cumsum(lengths)[:-1]
+        labels = [(part >= 0.5).astype(np.int8) * np.int8(t) for part, t in zip(np.split(p, cuts), toxic[tag], strict=True)]
+        model = train_tags(taught, labels, found)
     rest = ~tag if len(set(toxic[~tag])) == 2 else np.ones(len(texts), bool)
     if len(set(toxic[rest])) == 2:
-        p, lengths = marginals(model, [t for t, k in zip(texts, rest, strict=True) if k], Emissions(model))
+        p, lengths = marginals(model, [d for d, k in zip(documents, rest, strict=True) if k], Emissions(model))
         model.doc = _logistic(summaries(p, lengths), toxic[rest].astype(float))
     return model
 
@@ -263,16 +344,25 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf:
     """A model of ``labels.toxic`` from at most ``sample`` documents of each class, by a hash of their id, never held-out ones.
 
-    The sample (some 15 MB of text) is all that comes to the driver. Null labels and labels without a document are left out;
-    of differing labels of one document the larger counts.
+    The sample, at most ``LEARNT`` characters of each document, is all that comes to the driver. Null labels and labels
+    without a document are left out; of differing labels of one document or one text the larger counts, of differing texts
+    of one document the smallest.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     free = known.where(~held_out(F.col("doc_id"))).withColumn("_hash", F.xxhash64("doc_id"))
-    chosen = [free.where(F.col("toxic") == c).orderBy("_hash", "doc_id").limit(sample) for c in (0, 1)]
+    sizes = {r["toxic"]: r["count"] for r in free.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    chosen = []
+    for c in (0, 1):
+        # twice the sample lies below this bound of the hash, so that tasks hand on few rows
+        among = min(1.0, (2 * sample + 100) / max(1, sizes.get(c, 0)))
+        near = free.where((F.col("toxic") == c) & (F.pmod("_hash", F.lit(1 << 30)) <= int(among * (1 << 30))))
+        chosen.append(near.orderBy(F.pmod("_hash", F.lit(1 << 30)), "doc_id").limit(sample))
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice ``sample`` rows of three numbers
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
-    rows = texts.select("text", "toxic", F.pmod("_hash", F.lit(10)).alias("fold")).toPandas()
-    rows = rows.sort_values(["text", "toxic", "fold"]).drop_duplicates()
+    start = F.substring(F.coalesce("text", F.lit("")), 1, LEARNT)
+    texts = docs.select("doc_id", start.alias("text")).join(picked, "doc_id")
+    single = texts.groupBy("doc_id", "toxic", F.pmod("_hash", F.lit(10)).alias("fold")).agg(F.min("text").alias("text"))
+    once = single.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("fold").alias("fold"))
+    rows = once.toPandas().sort_values("text")
     return fit(rows.text.tolist(), rows.toxic.to_numpy(), rows.fold.to_numpy())
 
 
@@ -286,14 +376,16 @@ def judge(model: Crf, text: Column) -> Column:
     @F.pandas_udf(VERDICT)
     def tag(texts: pd.Series) -> pd.DataFrame:
         memory = Emissions(model)
-        blocks = [_tag(model, texts.iloc[i : i + AT_ONCE].fillna("").tolist(), memory) for i in range(0, max(1, len(texts)), AT_ONCE)]
-        return pd.concat(blocks, ignore_index=True)
+        whole = texts.fillna("").tolist()
+        ends = np.cumsum([len(t) for t in whole]) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(whole)]
+        return pd.concat([_tag(model, whole[i:j], memory) for i, j in zip(cuts, cuts[1:], strict=False)], ignore_index=True)
 
     return tag(text)
 
 
 def _tag(model: Crf, texts: list[str], memory: Emissions) -> pd.DataFrame:
-    p, lengths = marginals(model, texts, memory)
+    p, lengths = marginals(model, map(TOKEN.findall, texts), memory)
     score = 1 / (1 + np.exp(-np.clip(summaries(p, lengths) @ model.doc, -30, 30)))
     spans, hits, at = [], [], 0
     for text, n in zip(texts, lengths.tolist(), strict=True):

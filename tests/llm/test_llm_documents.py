@@ -428,6 +428,41 @@ def test_held_out_documents_are_told_apart(labelled, docs, none):
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
 
 
+def test_tags_depend_on_neighbours():
+    say = random.Random(5)
+    documents, labels = [], []
+    for k in range(300):
+        words = [f"w{say.randrange(40)}" for _ in range(20)]
+        at = say.randrange(1, 19)
+        words[at - 1 : at + 1] = ["you", "rot"] if k % 2 else ["wood", "rot"]
+        documents.append(words)
+        labels.append(np.array([k % 2 == 1 and i == at for i in range(20)], np.int8))
+    model = toxicity.train_tags(documents, labels, {"w=rot"})
+    p, _ = toxicity.marginals(model, [["w1", "you", "rot", "w2"], ["w1", "wood", "rot", "w2"]], toxicity.Emissions(model))
+    assert [x >= 0.5 for x in p] == [False, False, True, *[False] * 5]
+
+
+def test_words_scored_in_short_are_scored_right():
+    weights = {"w=at": 1.0, "4=abcd": 2.0, "<s=A": 0.5, ">w=xyz": -1.0, "s=a": 0.25, "<4=ßaab": 3.0}
+    memory = toxicity.Emissions(toxicity.Crf(weights))
+    for word in ("at", "AT", "abcde", "XYZ", "xyz", "other", "12", "SSaab", "ßaabx", "İat", "_"):
+        n = memory[word]
+        assert tuple(memory.table[3 * n : 3 * n + 3]) == pytest.approx(memory.model.scores(word))
+
+
+def test_texts_are_tagged_alike_in_any_blocks(labelled, monkeypatch):
+    told, labels = labelled
+    twice = told.unionByName(told.limit(50))  # repeated rows teach once
+    model = toxicity.train(twice, labels.unionByName(labels))
+    assert model.weights == toxicity.train(told, labels).weights
+    texts = [r.text for r in told.collect()] + ["", "x" * 300]
+    at_once = toxicity._tag(model, texts, toxicity.Emissions(model))
+    monkeypatch.setattr(toxicity, "REMEMBERED", 10)
+    memory = toxicity.Emissions(model)
+    apart = [toxicity._tag(model, [t], memory) for t in texts]
+    assert np.allclose(at_once.score, [a.score[0] for a in apart]) and at_once.spans.tolist() == [a.spans[0] for a in apart]
+
+
 def test_parts_of_thousands_of_zeros_are_read():
     """Python refuses int() of more than 4300 digits, even if all are zeros."""
     zeros = "0" * 5000
