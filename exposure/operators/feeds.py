@@ -239,6 +239,14 @@ def merge_modified_feed(
     return kept.select("cve_id", "cve_year", "item").unionByName(changes)
 
 
+def feed_digest(modified: DataFrame) -> str:
+    """Digest of a feed's entries as they count (the last of each id), whatever their order and files: number, sum and
+    exclusive or of two 64-bit hashes, so one aggregate and one row."""
+    entries = last_wins(modified).select(F.xxhash64("cve_id", "item").alias("a"), F.xxhash64(F.lit(1), "item", "cve_id").alias("b"))
+    n, total, mixed = entries.agg(F.count("*"), F.sum(F.col("a").cast("decimal(20,0)")), F.bit_xor("b")).first()
+    return f"{n}:{total or 0}:{mixed or 0}"
+
+
 def combined_total(local: DataFrame, start_year: int, end_year: int) -> DataFrame:
     """Entries per year of a combined export; years without any are absent."""
     return (

@@ -242,3 +242,28 @@ def _(v: Views) -> DataFrame:
     changed.write.parquet(f"{folder}/in")
     jobs.stream_modified(v.spark, f"{folder}/in", f"{folder}/local", f"{folder}/checkpoint", now, now).awaitTermination()
     return sinks.read_parts(v.spark, f"{folder}/local", "cve_year").select("cve_id", "item")
+
+
+@query("stream_modified_state", """
+    SELECT CAST(substr(cve_id, 5, 4) AS INTEGER) AS cve_year, count(DISTINCT cve_id) AS entries,
+           CAST(max(old) + max(new) AS BIGINT) AS writes
+    FROM (SELECT cve_id, 1 AS old, 0 AS new FROM x_cve UNION ALL SELECT cve_id, 0, 1 FROM x_record_last) GROUP BY 1""")
+def _(v: Views) -> DataFrame:
+    """Entries of each year and how often it was written, after the same feed came twice: the second time no year is."""
+    import datetime as dt
+
+    folder, now = _folder(v), dt.datetime(2024, 5, 5)
+    local = with_year(v.cve).select("cve_id", "cve_year", F.col("description").alias("item"))
+    sinks.write_parts(local, f"{folder}/local", "cve_year", ["cve_id"], "start")
+    feed = normalize_feed(v.feed_record).select(
+        "cve_id", F.col("description").alias("item"), "file_seq",
+        F.struct(F.col("pos.block").cast("bigint").alias("block"), F.col("pos.row").cast("bigint").alias("row")).alias("pos"),
+    )
+    for day in range(2):
+        feed.withColumn("file_seq", F.col("file_seq") + 1000 * day).write.mode("append").parquet(f"{folder}/in")
+        at = now + dt.timedelta(days=5 * day)
+        jobs.stream_modified(v.spark, f"{folder}/in", f"{folder}/local", f"{folder}/checkpoint", now, at).awaitTermination()
+    log = v.spark.read.parquet(f"{folder}/local/log").where("part IS NOT NULL")
+    writes = log.groupBy(F.col("part").cast("int").alias("cve_year")).agg(F.count("*").alias("writes"))
+    entries = sinks.read_parts(v.spark, f"{folder}/local", "cve_year").groupBy("cve_year").agg(F.count("*").alias("entries"))
+    return entries.join(writes, "cve_year")
