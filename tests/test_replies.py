@@ -1,6 +1,7 @@
 """Replies, notifications, board rules and roll-ups on small tables."""
 
 import hashlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from exposure.session import store
 from exposure.operators.matching import active_matches
 from exposure.operators import acks as A, board as B, notify as N, rollups as R
 from exposure.operators.state import apply_changes, publish, refused_creates
+from exposure.plans.catalog import notifications, registry  # noqa: F401
 
 NOTE = """notification_id bigint, advisory_id bigint, department_id bigint, channels array<string>, asset_ids array<bigint>, status string,
     ack_status string, ack_note string, ack_by string, ack_updated_at timestamp, sent_at timestamp, reminded_at timestamp, reminder_count int,
@@ -274,3 +276,20 @@ def test_publishing_keeps_the_first_time(spark):
 def test_reply_checks(spark, status, note, reason):
     df = spark.createDataFrame([(status, note)], "ack_status string, note string")
     assert A.validate_ack(df).first().reject_reason == reason
+
+def _told(spark, name):
+    """Rows of a registered notification query over a few matches of its own."""
+    a = assets(spark, (1, 7, "kim"), (2, 7, "자동배포"), (3, 8, None))
+    m = matches(spark, (1, "C2", 1, "MATCHED", "NONE"), (1, "C1", 1, "MATCHED", "NONE"), (1, "C1", 2, "MATCHED", "NONE"), (1, "C1", 3, "MATCHED", "NONE"))
+    views = SimpleNamespace(
+        match=m, asset=a, advisory=advisories(spark, (1, "MATCHED", "2024-02-01", None)), notification=notes(spark, (1, 1, 8, "NONE", None, "SENT")),
+        department=spark.createDataFrame([(7, "roads"), (8, "parks")], "department_id bigint, name string"),
+        cve=spark.createDataFrame([("C1", "HIGH"), ("C2", "LOW")], "cve_id string, severity string"))
+    return {r.department_id: r for r in registry._QUERIES[name](views).collect()}
+
+
+def test_preview_query_shows_whole_messages(spark):
+    got = _told(spark, "notification_preview")
+    assert [line for line in got[7].message.split("\n") if line.startswith("·")] == ["· PC-1 (Edge 1) — C1 HIGH", "· PC-2 (Edge 1) — C1 HIGH", "· PC-1 (Edge 1) — C2 LOW"]
+    assert got[8].message.count("·") == 1 and (got[7].sent, got[8].sent) == (False, True)
+    assert all(r.message.startswith("[보안조치 요청] ") and r.message.endswith("등록해 주세요.") for r in got.values())
