@@ -293,3 +293,9 @@ def test_preview_query_shows_whole_messages(spark):
     assert [line for line in got[7].message.split("\n") if line.startswith("·")] == ["· PC-1 (Edge 1) — C1 HIGH", "· PC-2 (Edge 1) — C1 HIGH", "· PC-1 (Edge 1) — C2 LOW"]
     assert got[8].message.count("·") == 1 and (got[7].sent, got[8].sent) == (False, True)
     assert all(r.message.startswith("[보안조치 요청] ") and r.message.endswith("등록해 주세요.") for r in got.values())
+
+
+def test_key_query_lists_its_assets(spark):
+    got = _told(spark, "asset_keys")
+    assert {d: (r.asset_ids, r.asset_total) for d, r in got.items()} == {7: ("1|2", 2), 8: ("3", 1)}
+    assert got[7].idempotency_key == hashlib.sha256(b"1:7:[1, 2]").hexdigest()
