@@ -299,3 +299,10 @@ def test_key_query_lists_its_assets(spark):
     got = _told(spark, "asset_keys")
     assert {d: (r.asset_ids, r.asset_total) for d, r in got.items()} == {7: ("1|2", 2), 8: ("3", 1)}
     assert got[7].idempotency_key == hashlib.sha256(b"1:7:[1, 2]").hexdigest()
+
+
+def test_plan_query_holds_texts_and_assets(spark):
+    got = _told(spark, "plan_notifications")
+    assert sorted(got) == [8]  # the query leaves department 7 out
+    assert (got[8].asset_ids, got[8].asset_total, got[8].action) == ("3", 1, "retry")
+    assert got[8].message.startswith("[보안조치 요청] T1") and "\n· PC-3 (Edge 1) — C1 HIGH\n" in got[8].message and got[8].message.endswith("등록해 주세요.")
