@@ -5,18 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.boosting import Boosted, train
+from exposure.llm.boosting import Boosted, bins, edges, train, with_margins
+from exposure.session import store
 
 KINDS = ("email", "ip", "card", "phone")
-# Bound of the training sample: candidates, taken by a hash of their text and place.
-SAMPLE = 20_000
+# Margins that calibrate are counted in steps of this, so that their counts stay small whatever the number of candidates.
+STEP = 1 / 256
 # A candidate outside the base patterns is added if its calibrated probability reaches the lowest value at which this share
 # of the calibration candidates above it is right, and never below LEAST.
 PRECISION, LEAST = 0.98, 0.9
@@ -274,28 +277,25 @@ class Judge:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.margin(x) + self.shift, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Judge:
-    """Trees on folds 0 to 6, calibration and thresholds on 7 to 9. Without both labels on both sides nothing is added."""
-    grow = fold < 7
-    if any(len(set(y[side].tolist())) < 2 for side in (grow, ~grow)):
-        return Judge()
-    judge = Judge(train(x[grow], y[grow]))
-    margin, right = judge.trees.margin(x[~grow]), y[~grow]
+def calibrated(trees: Boosted, kind: np.ndarray, margin: np.ndarray, n: np.ndarray, right: np.ndarray) -> Judge:
+    """Calibration and thresholds from counts: of a kind and a margin, how many candidates there are and how many are right.
+    A margin stands for those within half a step."""
+    judge = Judge(trees)
     a, b = 1.0, 0.0
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
+        w, miss = n * p * (1 - p) + 1e-9, right - n * p
         h = np.array([[(w * margin**2).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(margin * (right - p)).sum() - 1e-3 * (a - 1), (right - p).sum() - 1e-3 * b])
+        step = np.linalg.solve(h, [(margin * miss).sum() - 1e-3 * (a - 1), miss.sum() - 1e-3 * b])
         a, b = a + step[0], b + step[1]
     judge.slope, judge.shift = float(max(a, 0.05)), float(b)
-    p = judge.probability(x[~grow])
     found = []
     for i in range(len(KINDS)):
-        own = x[~grow][:, i] == 1
-        order = np.argsort(-p[own], kind="stable")
-        precise = np.cumsum(right[own][order]) / np.arange(1, own.sum() + 1) >= PRECISION
-        found.append(max(LEAST, float(p[own][order][np.flatnonzero(precise)[-1]])) if precise.any() else 2.0)
+        own = np.flatnonzero(kind == i)
+        own = own[np.argsort(-margin[own], kind="stable")]
+        precise = np.flatnonzero(np.cumsum(right[own]) / np.cumsum(n[own]) >= PRECISION)
+        lowest = judge.slope * (margin[own[precise[-1]]] - STEP / 2) + judge.shift if len(precise) else 0.0
+        found.append(max(LEAST, float(1 / (1 + np.exp(-np.clip(lowest, -30, 30))))) if len(precise) else 2.0)
     judge.thresholds = tuple(found)
     return judge
 
@@ -348,11 +348,13 @@ def _asked(text: Column) -> Column:
     return F.when(text.rlike(MAY_HOLD), text)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Judge:
-    """A judge from at most ``sample`` labelled candidates (:func:`lessons`) of all documents, the first by a hash.
+def learn(docs: DataFrame) -> Judge:
+    """A judge from all labelled candidates (:func:`lessons`) of all documents: trees from folds 0 to 6 of their texts, calibration
+    and thresholds from 7 to 9. Without both labels on both sides nothing is added.
 
-    Only their numbers come to the driver. Candidates of equal surroundings count once, so copies do not fill the sample.
-    Trees and calibration learn from different documents; equal texts are on one side.
+    Candidates of equal surroundings count once; equal texts are on one side. Candidates stay with the tasks: the driver gets
+    how often each value of a feature occurs (values are lengths and counts within a candidate, a few hundred at most), the
+    histograms of the trees, and counts of right ones by step of the margin.
     """
 
     @F.pandas_udf("array<struct<hash:long,right:int,x:array<double>>>")
@@ -363,10 +365,37 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Judge:
     fold = F.pmod(F.xxhash64("text"), F.lit(10)).alias("fold")
     rows = asked.select(fold, F.explode(told("text")).alias("c")).select("fold", "c.*")
     once = rows.groupBy("hash").agg(F.min(F.struct("right", "fold", "x")).alias("c"))
-    got = once.orderBy("hash").limit(sample).select("hash", "c.right", "c.fold", "c.x").toPandas()
-    if got.empty:
+    kept = store(once.select((F.col("c.fold") < 7).alias("grow"), "c.right", "c.x"), "lessons")
+    sizes = {(r["grow"], r["right"]): r["count"] for r in kept.groupBy("grow", "right").count().collect()}
+    if len(sizes) < 4:
         return Judge()
-    return fit(np.array(got.x.tolist()), got.right.to_numpy(float), got.fold.to_numpy())
+    seen: dict[int, list[tuple[float, int]]] = {}
+    values = kept.where("grow").select(F.posexplode("x").alias("feature", "value")).groupBy("feature", "value").count()
+    for r in values.collect():
+        seen.setdefault(r["feature"], []).append((r["value"], r["count"]))
+    cuts = [edges(*np.array(sorted(seen[i])).T) for i in range(len(seen))]
+    alike = store(_alike(kept, cuts), "alike")
+    trees = train(alike.where("grow"), cuts, sizes[True, 1] / (sizes[True, 0] + sizes[True, 1]))
+    judged = with_margins(alike.where("NOT grow").withColumn("margin", F.lit(trees.base)), trees.trees)
+    step = F.round(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "margin")) / STEP).cast("long").alias("step")
+    counts = judged.groupBy("kind", step).agg(F.sum("n").alias("n"), F.sum("right").alias("right")).orderBy("kind", "step").collect()
+    kind, at, n, right = np.array([tuple(r) for r in counts], float).T
+    return calibrated(trees, kind, at * STEP, n, right)
+
+
+def _alike(kept: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Candidates whose bins are all the same, as one row: side, kind, bins, how many they are and how many are right."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(cuts))
+                kind = pa.array(x[:, : len(KINDS)].argmax(axis=1).astype(np.int32))
+                told = pa.array([row.tobytes() for row in bins(cuts, x)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("grow"), kind, told, batch.column("right")], ["grow", "kind", "bins", "right"])
+
+    rows = kept.mapInArrow(binned, "grow boolean, kind int, bins binary, right int")
+    return rows.groupBy("grow", "kind", "bins").agg(F.count("*").alias("n"), F.sum("right").alias("right"))
 
 
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, redacted string"

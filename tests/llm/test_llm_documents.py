@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from exposure.llm import components, media, mixing, packing, pii, sharding, simhash, toxicity
+from exposure.llm import boosting, components, media, mixing, packing, pii, sharding, simhash, toxicity
 
 DOCS = StructType(
     [
@@ -523,3 +523,48 @@ def test_lessons_hold_both_labels_and_rewritten_spans_are_no_base_spans():
         rows = pii.lessons(" , ".join(spans.values()))
         assert {r for _, r, _ in rows} == {0, 1} and len({len(x) for _, _, x in rows}) == 1
     assert pii.lessons("") == [] and pii.lessons("9" * 100_000 + "@") == pii.lessons("9" * 100_000 + "@")
+
+
+def test_trees_learn_from_every_candidate(spark, monkeypatch):
+    """More candidates than any earlier sample: all of them grow the trees or calibrate, none is left out."""
+    say = random.Random(8)
+    texts = [f"{say.random()} mail a{i}@b{say.randrange(99)}.example.com or 10.{i % 250}.{say.randrange(250)}.7 call +1 (544) 555-{i % 10000:04d} at {say.random()}" for i in range(3000)]
+    wanted = {h for t in texts for h, _, _ in pii.lessons(t)}
+    assert len(wanted) > 25_000
+    seen = []
+    train, calibrated = pii.train, pii.calibrated
+    monkeypatch.setattr(pii, "train", lambda rows, cuts, mean: seen.append(rows.agg(F.sum("n")).first()[0]) or train(rows, cuts, mean, trees=2))
+    monkeypatch.setattr(pii, "calibrated", lambda trees, kind, margin, n, right: seen.append(int(n.sum())) or calibrated(trees, kind, margin, n, right))
+    assert pii.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).trees is not None
+    assert len(seen) == 2 and sum(seen) == len(wanted)
+
+
+def test_trees_from_summed_histograms(spark):
+    """Trees over rows in several tasks, alike ones counted together, are those of one plain pass over all rows."""
+    say = np.random.default_rng(3)
+    x = np.stack([say.integers(0, 90, 900), say.integers(0, 4, 900), say.integers(0, 2, 900)], axis=1).astype(float)
+    y = ((x[:, 0] > 40) ^ (x[:, 1] == 2) ^ (say.random(900) < 0.1)).astype(int)
+    cuts = [boosting.edges(*map(np.asarray, np.unique(x[:, i], return_counts=True))) for i in range(3)]
+    assert np.array_equal(cuts[0], np.unique(np.quantile(x[:, 0], np.linspace(0, 1, 33)[1:-1]))) and cuts[1].tolist() == [0.5, 1.5, 2.5]
+    told = boosting.bins(cuts, x)
+    rows = spark.createDataFrame([(bytes(b), int(r)) for b, r in zip(told, y, strict=True)], "bins binary, right int").repartition(5)
+    model = boosting.train(rows.groupBy("bins").agg(F.count("*").alias("n"), F.sum("right").alias("right")), cuts, float(y.mean()), trees=12)
+    margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+
+    def grow(own, depth, p):
+        g, h = (p - y)[own].sum(), (p * (1 - p))[own].sum()
+        best, sides = 1e-6, None
+        for f, k in ((f, k) for f in range(3) for k in range(31) if depth):
+            low, high = own & (told[:, f] <= k), own & (told[:, f] > k)
+            gains = [(p - y)[s].sum() ** 2 / ((p * (1 - p))[s].sum() + 1) for s in (low, high)]
+            if sum(gains) - g**2 / (h + 1) > best + 1e-7:
+                best, sides = sum(gains) - g**2 / (h + 1), (low, high)
+        if sides is None:
+            margin[own] += -0.2 * g / (h + 1)
+        else:
+            for side in sides:
+                grow(side, depth - 1, p)
+
+    for _ in range(12):
+        grow(np.ones(len(y), bool), 3, 1 / (1 + np.exp(-margin)))
+    assert len(model.trees) == 12 and np.abs(model.margin(x) - margin).max() < 1e-3
