@@ -20,7 +20,9 @@ TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers; the memory is emptied when it is full (some 200 bytes a word).
 REMEMBERED = 400_000
 # Bytes of text that a task works on at a time; a single longer text is still one piece of work.
-AT_ONCE = 6 << 20
+AT_ONCE = 2 << 20
+# Words that the tokenizer encodes at a time when they go one by one: what it returns takes far more room than the ids.
+ENCODED = 1000
 _WORDS: dict[tuple[str, int], "_Words"] = {}
 
 
@@ -65,7 +67,10 @@ class _Words:
         first = np.cumsum(sizes) - sizes
         counts = sizes[at]
         ends = np.cumsum(counts)
-        places = np.repeat(first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        n = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if n + int(sizes.sum()) < 1 << 31 else np.int64
+        places = np.repeat((first[at] - (ends - counts)).astype(kind), counts)
+        places += np.arange(n, dtype=kind)
         of_text = cut.offsets.to_numpy()
         return np.frombuffer(b"".join(parts), "<u4")[places], np.r_[0, ends][of_text[1:] - of_text[0]]
 
@@ -92,8 +97,10 @@ class _Words:
                 known.update(zip(some, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
             else:
                 odd += some
-        for word, coded in zip(odd, self.encode(odd, add_special_tokens=False), strict=True):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
+        for i in range(0, len(odd), ENCODED):
+            some = odd[i : i + ENCODED]
+            for word, coded in zip(some, self.encode(some, add_special_tokens=False), strict=True):
+                known[word] = np.array(coded.ids, "<u4").tobytes()
         found = {word: known[core] + known[end] if end else known[core] for word, (core, end) in plain.items()}
         return found | {word: known[word] for word in new if word not in plain}
 

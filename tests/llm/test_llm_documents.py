@@ -293,6 +293,22 @@ def test_pieces_and_sequences(docs, rows, none):
     assert sum(r.tokens for r in made) == sum(r.length for r in got)
 
 
+def test_few_words_are_encoded_at_a_time(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    monkeypatch.setattr(packing, "ENCODED", 50, raising=False)
+    words = packing._Words(path)
+    encode, sizes = words.encode, []
+    words.encode = lambda some, **options: sizes.append(len(some)) or encode(some, **options)
+    texts = [" ".join(f"{i * j}-{j}é" for j in range(90)) for i in range(9)] + ["", "plain words, all of them."]
+    ids, ends = words.ids(pa.array(texts))
+    own = Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(sizes) <= 50
+
+
 def test_fullest_is_the_closest_sum():
     say = random.Random(1)
     for _ in range(60):
