@@ -5,10 +5,9 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,34 +28,44 @@ RATIO, MOST = 10.83, 5000
 # Times that toxic documents are tagged anew by the field and learnt again.
 ANEW = 1
 FAINT = 0.1
-# Words whose emission a Python worker remembers; the memory is emptied when it is full.
+# Words whose emission a task remembers; the memory is emptied when it is full.
 REMEMBERED = 100_000
 
 # Characters of the texts that a task tags at once; a longer text is tagged by itself.
 AT_ONCE = 2_000_000
 
 TOKEN = re.compile(r"\w+")
+# Lengths of the beginnings that are features of a word, and the kinds of feature that it has for its neighbours.
+STEMS = range(3, 9)
+BESIDE = ("w=", "4=", "s=")
 
 
-@lru_cache(maxsize=REMEMBERED)
 def features(word: str) -> tuple[str, ...]:
     """The word and its beginnings, which stand for rarer forms of the same stem, and its shape."""
     small = word.lower()
-    return (f"w={small}", *[f"{n}={small[:n]}" for n in range(3, 9) if len(small) >= n], f"s={shape(word)}")
+    return (f"w={small}", *[f"{n}={small[:n]}" for n in STEMS if len(small) >= n], f"s={shape(word)}")
 
 
 def shape(word: str) -> str:
     return "0" if word.isdigit() else "A" if len(word) > 1 and word.isupper() else "Aa" if word[0].isupper() else "a"
 
 
-@lru_cache(maxsize=REMEMBERED)
 def beside(word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """What a word says of its next and of its previous neighbour: itself, its stem and its shape."""
-    own = features(word)
-    told = [f for f in own if f[:2] in ("w=", "4=", "s=")]
+    told = [f for f in features(word) if f[:2] in BESIDE]
     return tuple(f"<{f}" for f in told), tuple(f">{f}" for f in told)
 
 
+def _by_kind(words: Iterable[str]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """The kinds of feature one after the other (``w=``, ``3=``, ..), each with all (word, its feature of that kind): there
+    are far more features than words, and nearly all are too rare to be kept."""
+    small = [(w, w.lower()) for w in words]
+    yield "w=", [(w, x) for w, x in small]
+    for n in STEMS:
+        yield f"{n}=", [(w, x[:n]) for w, x in small if len(x) >= n]
+    yield "s=", [(w, shape(w)) for w, _ in small]
+
+
 def chain_odds(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: float) -> np.ndarray:
     """Marginal odds of state 1 at every place of many chains, by forward and backward recursion over the ratio of states.
 
@@ -103,27 +112,38 @@ class Crf:
 
 
 class Emissions(dict):
-    """Numbers of the words met so far, with a table of their scores. A word that begins as no feature of the model does is
-    scored by its shape alone."""
+    """Numbers of the words met so far in a table of scores, one row for all words with the same features in the model: those
+    of one shape that are the same known word, or go on alike for as long as any feature does."""
 
     def __init__(self, model: Crf):
         super().__init__()
         self.model, self.table = model, array("d")
-        self.begins = {f.split("=", 1)[1][:3] for f in model.weights if "s=" not in f[:3]}
-        self.plain: dict[str, tuple[float, float, float]] = {}
-        for kind in ("0", "A", "Aa", "a"):
-            self.plain[kind] = tuple(model.weights.get(f"{side}s={kind}", 0.0) for side in ("", "<", ">"))
+        self.rows: dict[tuple[bool, str, str], int] = {}
+        self.whole, self.begins = set(), set()
+        for f in model.weights:
+            kind, told = f.lstrip("<>").split("=", 1)
+            if kind == "w":
+                self.whole.add(told)
+            elif kind != "s":
+                self.begins.update(told[:n] for n in range(STEMS[0], len(told) + 1))
 
     def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        known = word[:3].lower() in self.begins or word.lower()[:3] in self.begins
-        self.table.extend(self.model.scores(word) if known else self.plain[shape(word)])
+        small = word.lower()
+        whole, known = small in self.whole, small
+        if not whole:
+            n = next((n for n in STEMS if small[:n] not in self.begins), STEMS[-1] + 1)
+            known = small[: n - 1] if n > STEMS[0] else ""
+        key = whole, known, shape(word)
+        number = self.rows.get(key)
+        if number is None:
+            self.rows[key] = number = len(self.rows)
+            self.table.extend(self.model.scores(word))
+        self[word] = number
         return number
 
     def shrink(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-            del self.table[:]
 
 
 def marginals(model: Crf, texts: Iterable[list[str]], memory: Emissions) -> tuple[np.ndarray, np.ndarray]:
@@ -193,54 +213,95 @@ def label_tokens(documents: list[list[str]], toxic: np.ndarray) -> tuple[list[np
     Copies of a toxic document repeat its harmless words too. So a feature must also have stood after ``SEEN`` different
     words in toxic documents, and oftener than chance explains, which a word of a copied passage has not.
     """
-    counts = (Counter(), Counter())
+    held_by = (Counter(), Counter())
     for words, bad in zip(documents, toxic, strict=True):
-        for word in {w.lower() for w in words}:
-            counts[int(bad)].update(features(word))
+        held_by[int(bad)].update({w.lower() for w in words})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     odds = PURE / (1 - PURE) * n1 / n0
-    telling = {f for f, c1 in counts[1].items() if c1 >= SEEN and c1 >= odds * counts[0][f]}
-    after: dict[str, set[str]] = {f: set() for f in telling}
+    looked, clean = 0, {}  # features seen often enough in toxic documents; of those that tell, their number in clean ones
+    for kind, told in _by_kind(held_by[0].keys() | held_by[1].keys()):
+        c0, c1 = Counter(), Counter()
+        for word, f in told:
+            c0[f] += held_by[0].get(word, 0)
+            c1[f] += held_by[1].get(word, 0)
+        often = {f: c for f, c in c1.items() if c >= SEEN}
+        looked += len(often)
+        clean.update({kind + f: c0[f] for f, c in often.items() if c >= odds * c0[f]})
+    telling = _Memory(lambda word: [f for f in features(word) if f in clean])
+    after: dict[str, set[str]] = {f: set() for f in clean}
     for words, bad in zip(documents, toxic, strict=True):
         if bad:
             for before, word in zip(["", *words], words, strict=False):
-                for f in telling.intersection(features(word)):
+                for f in telling[word]:
                     after[f].add(before.lower())
     # so many features were looked at; with this level less than one harmless one passes by chance
-    level = math.log(0.5 / max(1, sum(c >= SEEN for c in counts[1].values())))
+    level = math.log(0.5 / max(1, looked))
     share = n1 / (n1 + n0)
-    found = {f for f, words in after.items() if len(words) >= SEEN and _log_chance(len(words), counts[0][f], share) < level}
+    found = {f for f, words in after.items() if len(words) >= SEEN and _log_chance(len(words), clean[f], share) < level}
+    tells = _Memory(lambda word: not found.isdisjoint(features(word)))
     tags = [
-        np.fromiter((bool(bad) and not found.isdisjoint(features(w)) for w in words), np.int8, len(words))
+        np.fromiter((bool(bad) and tells[w] for w in words), np.int8, len(words))
         for words, bad in zip(documents, toxic, strict=True)
     ]
     return tags, found
 
 
+class _Memory(dict):
+    """What a function says of each word met."""
+
+    def __init__(self, say: Callable):
+        super().__init__()
+        self.say = say
+
+    def __missing__(self, word: str):
+        self[word] = said = self.say(word)
+        return said
+
+
 def _windows(documents: list[list[str]], tags: list[np.ndarray], found: set[str]) -> Iterator[tuple[list[str], np.ndarray]]:
     """Stretches around telling or toxic tokens, and the first and one in ``OTHERS`` of the other stretches of each document."""
+    tells = _Memory(lambda word: not found.isdisjoint(features(word)))
     for words, tag in zip(documents, tags, strict=True):
-        told = {i // WINDOW for i, w in enumerate(words) if tag[i] or not found.isdisjoint(features(w))}
+        told = {i // WINDOW for i, w in enumerate(words) if tag[i] or tells[w]}
         for k in range((len(words) + WINDOW - 1) // WINDOW):
             if k in told or k % OTHERS == 0:
                 yield words[k * WINDOW : (k + 1) * WINDOW], tag[k * WINDOW : (k + 1) * WINDOW]
 
 
-def _features_of(words: list[str]) -> list[tuple[str, ...]]:
-    """Features of each place: those of its word and of its neighbours within the window."""
-    ahead = [(), *[beside(w)[0] for w in words[:-1]]]
-    back = [*[beside(w)[1] for w in words[1:]], ()]
-    return [features(w) + a + b for w, a, b in zip(words, ahead, back, strict=True)]
+def _places_of(words: list[str], told: tuple[dict, dict, dict]) -> list[list]:
+    """What is told of each place by its word, the word before and the one after it within the window, in this order."""
+    own, ahead, back = told
+    last = len(words) - 1
+    return [
+        [*own[w], *(ahead[words[i - 1]] if i else ()), *(back[words[i + 1]] if i < last else ())] for i, w in enumerate(words)
+    ]
 
 
 def _choose(windows: list[tuple[list[str], np.ndarray]]) -> list[str]:
     """Features, of either sign, whose presence tells of the tag by the likelihood-ratio test over all tokens of the windows."""
-    counts = (Counter(), Counter())
+    # how often each word stands at, before and after a place of either tag
+    stands = {side: defaultdict(lambda: [0, 0]) for side in ("", "<", ">")}
     for words, tag in windows:
-        for told, t in zip(_features_of(words), tag, strict=True):
-            counts[t].update(told)
+        tags = tag.tolist()
+        for side, some, at in (("", words, tags), ("<", words, tags[1:]), (">", words[1:], tags)):
+            for w, t in zip(some, at, strict=False):
+                stands[side][w][t] += 1
+    counts = (Counter(), Counter())
+    for side, seen in stands.items():
+        for kind, told in _by_kind(seen):
+            if side and kind not in BESIDE:
+                continue
+            here: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for word, f in told:
+                both = here[f]
+                both[0] += seen[word][0]
+                both[1] += seen[word][1]
+            for f, both in here.items():
+                if sum(both) >= SEEN:
+                    for t in (0, 1):
+                        counts[t][f"{side}{kind}{f}"] = both[t]
     size = np.array([sum(len(t) - int(t.sum()) for _, t in windows), sum(int(t.sum()) for _, t in windows)], float)
-    names = sorted(f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= SEEN)
+    names = sorted(counts[0])
     if not names or not size.all():
         return []
     seen = np.array([[counts[0][f], counts[1][f]] for f in names], float)
@@ -259,7 +320,11 @@ def train_tags(documents: list[list[str]], labels: list[np.ndarray], found: set[
     vocabulary = {f: i for i, f in enumerate(_choose(windows))}
     if not vocabulary:
         return Crf()
-    ids = [[vocabulary[f] for f in told if f in vocabulary] for words, _ in windows for told in _features_of(words)]
+    told = [
+        _Memory(lambda w, tell=tell: [vocabulary[f] for f in tell(w) if f in vocabulary])
+        for tell in (features, lambda w: beside(w)[0], lambda w: beside(w)[1])
+    ]
+    ids = [at for words, _ in windows for at in _places_of(words, told)]
     y = np.concatenate([t for _, t in windows]).astype(np.float64)
     lengths = np.array([len(t) for _, t in windows], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -320,7 +385,8 @@ def fit(texts: list[str], toxic: np.ndarray, folds: np.ndarray) -> Crf:
     tag = folds < TAG_TENTHS
     if not toxic[tag].any() or not (1 - toxic[tag]).any():
         tag = np.ones(len(texts), bool)
-    documents = [TOKEN.findall(t) for t in texts]
+    words: dict[str, str] = {}
+    documents = [[words.setdefault(w, w) for w in TOKEN.findall(t)] for t in texts]  # equal words are one object
     taught = [d for d, k in zip(documents, tag, strict=True) if k]
     labels, found = label_tokens(taught, toxic[tag])
     model = train_tags(taught, labels, found)

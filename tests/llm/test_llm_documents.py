@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -466,6 +467,44 @@ def test_words_scored_in_short_are_scored_right():
         assert tuple(memory.table[3 * n : 3 * n + 3]) == pytest.approx(memory.model.scores(word))
 
 
+def test_words_with_the_same_features_are_scored_once():
+    weights = {"w=gra": 1.0, "3=gra": 0.5, "5=grape": 2.0, "<4=grap": -0.5, ">w=grapes": 0.75, "<s=0": 0.1, "s=Aa": 0.2}
+    model = toxicity.Crf(weights)
+    memory, asked = toxicity.Emissions(model), []
+    model.scores = lambda word: asked.append(word) or toxicity.Crf.scores(model, word)
+    words = [f"{start}{i}" for start in ("gra", "grap", "grape", "grapes", "other") for i in range(1000)]
+    words += ["gra", "Gra", "GRA", "grab", "grap", "grape", "grapes", "Grapes", "gr", "g", "7", "77"]
+    for word in words:
+        n = memory[word]
+        assert tuple(memory.table[3 * n : 3 * n + 3]) == toxicity.Crf.scores(model, word)
+    assert len(asked) < 30 and len(memory.table) == 3 * len(asked)
+
+
+def test_chosen_features_are_those_of_every_place():
+    say = random.Random(8)
+    windows = []
+    for _ in range(200):
+        words = [say.choice(["Stone", "stones", "STONE", "rot", "you", "12", f"x{say.randrange(90)}"]) for _ in range(12)]
+        windows.append((words, np.array([w == "rot" and b == "you" for b, w in zip(["", *words], words)], np.int8)))
+    counts = (Counter(), Counter())
+    for words, tag in windows:
+        for i, t in enumerate(tag.tolist()):
+            counts[t].update(toxicity.features(words[i]))
+            counts[t].update(toxicity.beside(words[i - 1])[0] if i else ())
+            counts[t].update(toxicity.beside(words[i + 1])[1] if i + 1 < len(words) else ())
+    size = np.array([sum(len(t) - int(t.sum()) for _, t in windows), sum(int(t.sum()) for _, t in windows)], float)
+    telling = set()
+    for f in counts[0].keys() | counts[1].keys():
+        seen = np.array([counts[0][f], counts[1][f]], float)
+        ratio = sum(
+            2 * x * np.log(x / (part.sum() * n / size.sum()))
+            for part in (seen, size - seen) for x, n in zip(part, size, strict=True) if x
+        )
+        if seen.sum() >= toxicity.SEEN and ratio >= toxicity.RATIO:
+            telling.add(f)
+    assert set(toxicity._choose(windows)) == telling and {"w=rot", "<w=you"} <= telling
+
+
 def test_texts_are_tagged_alike_in_any_blocks(labelled, monkeypatch):
     told, labels = labelled
     twice = told.unionByName(told.limit(50))  # repeated rows teach once
