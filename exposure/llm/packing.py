@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,14 @@ from exposure.llm.running import running
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a Python worker remembers; the memory is emptied when it is full (some 200 bytes a word).
+# Words whose ids a Python worker remembers; when half of them were met lately, the others go (some 200 bytes a word).
 REMEMBERED = 400_000
-# Bytes of text that a task works on at a time; a single longer text is still one piece of work.
-AT_ONCE = 2 << 20
+# Bytes of text that a task works on at a time, longer texts in stretches up to white space.
+AT_ONCE = 1 << 20
 # Words that the tokenizer encodes at a time when they go one by one: what it returns takes far more room than the ids.
 ENCODED = 1000
+# Kinds of bytes; the last is the greatest.
+_SPACE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
 _WORDS: dict[tuple[str, int], "_Words"] = {}
 
 
@@ -37,6 +40,9 @@ class _Words:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its words in order. Words are
     cut at ASCII white space only; whatever else the tokenizer takes for white space stays inside a word and is left to it.
+    It does not merge across the ends of a run of letters or of signs either, nor across a digit's, so a plain word is cut
+    there too and its A-Z made small, as the tokenizer does. A word stays whole if it has an apostrophe (``'s`` is one unit),
+    a character outside ASCII or the sign that a special token begins with.
     """
 
     def __init__(self, path: str):
@@ -44,25 +50,81 @@ class _Words:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
+        # words met lately, and those of the time before
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.encode = found.encode_batch_fast
         # ids that end a run of letters
         vocabulary = found.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kinds = np.full(256, _SIGN, np.uint8)
+        for kind, these in ((_SPACE, b" \t\n\v\f\r"), (_DIGIT, b"0123456789"), (_WHOLE, b"'")):
+            self.kinds[list(these)] = kind
+        self.kinds[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+        self.kinds[128:] = _WHOLE
+        for token in found.get_added_tokens_decoder().values():
+            self.kinds[token.content.encode()[0]] = _WHOLE
+
+    def cut(self, raw: np.ndarray, text_ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words and parts of words of some bytes that end in white space, and how many come before each end of a text."""
+        kinds = self.kinds[raw]
+        solid = kinds != _SPACE
+        edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
+        if not len(edges):
+            return pa.array([], pa.large_string()), np.zeros(len(text_ends), np.int64)
+        begin, sizes = edges[::2], edges[1::2] - edges[::2]
+        stops = np.cumsum(sizes)
+        first = stops - sizes
+        raw, kinds = raw[solid], kinds[solid]
+        del solid, edges
+        at = kinds == _DIGIT
+        at[1:] |= kinds[1:] != kinds[:-1]
+        big = (raw - np.uint8(65)) < 26
+        whole = np.maximum.reduceat(kinds, first) == _WHOLE
+        if whole.any():
+            apart = np.repeat(~whole, sizes)
+            at &= apart
+            big &= apart
+        at[first] = True
+        starts = np.flatnonzero(at)
+        data = raw | (big.view(np.uint8) << 5)
+        places = pa.py_buffer(np.append(starts, len(data)))
+        words = pa.LargeStringArray.from_buffers(len(starts), places, pa.py_buffer(data))
+        return words, np.searchsorted(starts, np.r_[0, stops][np.searchsorted(begin, text_ends)])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some texts, one text after the other, and where each text ends. Each different word is looked up once."""
-        cut = pc.ascii_split_whitespace(texts)
-        coded = cut.flatten().dictionary_encode()
+        """All ids of some texts, one text after the other, and where each text ends. Long texts are worked on in stretches."""
+        ended = pc.binary_join_element_wise(texts, pa.scalar("\n", texts.type), pa.scalar("", texts.type))
+        text_ends = np.cumsum(pc.binary_length(ended).to_numpy(zero_copy_only=False), dtype=np.int64)
+        raw = np.frombuffer(ended.buffers()[2], np.uint8, int(text_ends[-1]))
+        ids, ends, begin, n = [], [], 0, 0
+        while begin < len(raw):
+            stop, look = len(raw), 1 << 12
+            if stop - begin > 2 * AT_ONCE:
+                at = begin + AT_ONCE
+                while not len(found := np.flatnonzero(self.kinds[raw[at : at + look]] == _SPACE)):
+                    at, look = at + look, look * 2
+                stop = at + int(found[0]) + 1
+            here = text_ends[np.searchsorted(text_ends, begin, "right") : np.searchsorted(text_ends, stop, "right")]
+            some, some_ends = self.stretch(raw[begin:stop], here - begin)
+            ids.append(some)
+            ends.append(some_ends + n)
+            begin, n = stop, n + len(some)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def stretch(self, raw: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some bytes that end in white space, and where texts end in them. Each different word is looked up once."""
+        cut, of_text = self.cut(raw, text_ends)
+        coded = cut.dictionary_encode()
         words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         parts = list(map(self.known.get, words))
-        new = {w for w, p in zip(words, parts, strict=True) if p is None}
+        new = [w for w, p in zip(words, parts, strict=True) if p is None]
         if new:
-            found = self.learn(new)
-            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            found = map(self.learn(new).__getitem__, new)
+            parts = [next(found) if p is None else p for p in parts]
         sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
         first = np.cumsum(sizes) - sizes
         counts = sizes[at]
@@ -71,38 +133,48 @@ class _Words:
         kind = np.int32 if n + int(sizes.sum()) < 1 << 31 else np.int64
         places = np.repeat((first[at] - (ends - counts)).astype(kind), counts)
         places += np.arange(n, dtype=kind)
-        of_text = cut.offsets.to_numpy()
-        return np.frombuffer(b"".join(parts), "<u4")[places], np.r_[0, ends][of_text[1:] - of_text[0]]
+        return np.frombuffer(b"".join(parts), "<u4")[places], np.r_[0, ends][of_text]
 
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """A word of letters and perhaps a full stop or comma has the ids of both, as the tokenizer cuts there. The letters of
-        many words are encoded at once; other words go one by one. Case is the tokenizer's matter but for plain A-Z.
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words not met lately, by word, with those of other words. The letters of many words are encoded at once;
+        other words go one by one. Outside ASCII, letters and a full stop or comma have the ids of both, as the tokenizer cuts
+        there if its normal form of the letters has letters only.
 
         Only letters and the other words are remembered, not what is put together from them."""
-        known, plain, odd = self.known, {}, []
+        known, older, joined, letters, odd = self.known, self.older, {}, [], []
         for word in new:
-            core, end = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-            if core.isalpha():
-                plain[word] = (core.lower() if core.isascii() else core, end)
+            if (found := older.get(word)) is not None:
+                known[word] = found
+            elif word.isascii():
+                (letters if word.isalpha() else odd).append(word)
+            elif word[-1] in ".," and normalize("NFC", word[:-1]).lower().isalpha():
+                joined[word] = (word[:-1], word[-1])
             else:
-                odd.append(word)
-        odd += [end for end in (".", ",") if end not in known and end not in new]
-        letters = list({core for core, _ in plain.values()}.difference(known))
+                (letters if word.isalpha() else odd).append(word)
+        if joined:
+            more = {part for both in joined.values() for part in both}.difference(known, letters, odd)
+            for part in more:
+                if (found := older.get(part)) is not None:
+                    known[part] = found
+                else:
+                    (letters if part.isalpha() else odd).append(part)
         for i in range(0, len(letters), 128):
             some = letters[i : i + 128]
             coded = np.array(self.encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[coded]) + 1
             if len(ends) == len(some):
                 data, cuts = coded.tobytes(), [0, *(ends * 4).tolist()]
-                known.update(zip(some, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+                known.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
             else:
                 odd += some
         for i in range(0, len(odd), ENCODED):
             some = odd[i : i + ENCODED]
             for word, coded in zip(some, self.encode(some, add_special_tokens=False), strict=True):
                 known[word] = np.array(coded.ids, "<u4").tobytes()
-        found = {word: known[core] + known[end] if end else known[core] for word, (core, end) in plain.items()}
-        return found | {word: known[word] for word in new if word not in plain}
+        if not joined:
+            return known
+        made = {word: known[core] + known[end] for word, (core, end) in joined.items()}
+        return made | {word: known[word] for word in new if word not in joined}
 
 
 def tokenize(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
@@ -115,9 +187,9 @@ def tokenize(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)] if len(texts) else [0]
     for a, b in zip(starts, starts[1:], strict=False):
         ids, ends = _WORDS[key].ids(texts[a:b])
-        begin = 0
-        for end in ends.tolist():
-            yield np.append(ids[begin:end], np.array([END_ID], "<u4"))
+        ids, begin = np.insert(ids, ends, np.uint32(END_ID)), 0
+        for end in (ends + np.arange(1, len(ends) + 1)).tolist():
+            yield ids[begin:end]
             begin = end
 
 

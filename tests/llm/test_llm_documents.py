@@ -1,6 +1,7 @@
 """Operators over documents against brute force, with nulls, empty and long texts, ties, repeats, clashing names, no rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -310,6 +311,46 @@ def test_few_words_are_encoded_at_a_time(monkeypatch):
     assert max(sizes) <= 50
 
 
+def encoded(words):
+    """How often each word is given to the tokenizer, counted from here on."""
+    encode, seen = words.encode, Counter()
+    words.encode = lambda some, **options: seen.update(" ".join(some).split()) or encode(some, **options)
+    return seen
+
+
+def test_a_word_is_encoded_once_whatever_stands_around_it(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    own, words = Tokenizer.from_file(path), packing._Words(path)
+    seen = encoded(words)
+    say = random.Random(2)
+    letters = ["".join(say.choices("abcdefgh", k=9)) for _ in range(200)]
+    texts = [" ".join(form.format(w, w.title(), w.upper()) for w in letters) for form in ('("{}")', "{1}-{0};", "{2}12/{0}:", "<{0}>.")]
+    texts += ["don't 'Tis IT'S", "<|endoftext|>a <|ENDOFTEXT|>", "H\u0331 \u0130. \u0958, caf\u00e9. \u4e2d\u6587,", "a\x1cb\x85c\xa0d", "", " \n"]
+    for size in (packing.AT_ONCE, 20):
+        monkeypatch.setattr(packing, "AT_ONCE", size)
+        ids, ends = words.ids(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    # the letters in pointed brackets may begin a special token and stay whole
+    assert sum(seen[w] for w in letters) == 200
+    assert sum(seen.values()) < 200 + 200 + 50
+
+
+def test_words_met_lately_are_kept_when_others_go(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    words = packing._Words(packing.tokenizer_path())
+    seen = encoded(words)
+    rare = iter("".join(w) for w in itertools.product("bcdf", "aeiou", "ghjk", "aeiou"))
+    for _ in range(8):
+        words.ids(pa.array(["of the sea " + " ".join(itertools.islice(rare, 45))]))
+    assert [seen[w] for w in ("of", "the", "sea")] == [1, 1, 1]
+    assert len(words.known) + len(words.older) <= 200 + 2 * 50
+
+
 def test_fullest_is_the_closest_sum():
     say = random.Random(1)
     for _ in range(60):
