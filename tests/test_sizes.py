@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from exposure.operators import products
+from exposure.functions.version import parse_version_rule
+from exposure.operators import matching, products
+from exposure.plans import exposure_report
 
 
 def test_only_pieces_that_may_be_an_alias_leave_their_task(spark, monkeypatch):
@@ -27,3 +29,61 @@ def test_no_alias_gives_no_pieces(spark):
     df = spark.createDataFrame([("abc",)], "text string")
     assert products.alias_pieces(df, spark.createDataFrame([], "alias string")).isEmpty()
     assert products.alias_pieces(df.where("false"), df.select(F.col("text").alias("alias"))).isEmpty()
+
+
+def _tables(spark, codes=30, assets=200):
+    """CVEs with repeated ids, assets with repeated ids, missing departments and versions; every code named by two advisories."""
+    versions = ("1.0", "2.0", "22H2", None)
+    asset = [(i % (assets - 5), i % 4 if i % 9 else None, f"p{i % 3}" if i % 11 else None, versions[i % 4], versions[(i + i // 4) % 4],
+              ("NORMAL", "RETIRED", None)[(i % 10 == 0) + (i % 13 == 0)]) for i in range(assets)]
+    rules = ('{"lt":"2.0"}', "*", '["1.0"]', None)
+    cve = [(f"CVE-2024-{i % (codes - 3):05}", f"p{i % 4}", rules[i % 4], ("HIGH", "LOW")[i % 2]) for i in range(codes)]
+    frame = spark.createDataFrame(cve, "cve_id string, product_key string, raw string, severity string")
+    rule = F.when(F.col("raw").isNotNull(), parse_version_rule("raw"))
+    named = [(a, f"CVE-2024-{i:05}", "FOUND" if i % 7 else "NOT_FOUND") for i in range(codes + 2) for a in (1, 1, 2)]
+    return (
+        spark.createDataFrame(named, "advisory_id long, cve_id_text string, lookup_status string"),
+        frame.select("cve_id", "product_key", rule.alias("version_rule"), "severity"),
+        spark.createDataFrame(asset, "asset_id long, department_id long, product_key string, version_norm string, version_raw string, status string"),
+        spark.createDataFrame([(0, "a"), (1, "b"), (3, "d")], "department_id long, name string"),
+    )
+
+
+def _counting(monkeypatch):
+    """Numbers of the rows that the core join gives from now on."""
+    made, plain = [], matching.match_assets
+
+    def counted(*args, **kw):
+        out = plain(*args, **kw)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "match_assets", counted)
+    return made
+
+
+def test_exposure_makes_no_row_per_code_and_asset(spark, rows, monkeypatch):
+    codes, cve, asset, department = _tables(spark)
+    once = codes.select("cve_id_text", "lookup_status").distinct().withColumn("advisory_id", F.lit(0))
+    pairs = matching.match_assets(once, cve, asset).groupBy("department_id", "cve_id_text").agg(
+        F.count("*").alias("assets"), F.count_if("reason.candidate").alias("to_review"))
+    want = pairs.join(department.withColumnRenamed("name", "department"), "department_id", "left").join(
+        cve.select(F.col("cve_id").alias("cve_id_text"), "severity"), "cve_id_text", "left")
+    names = ["department_id", "department", "cve_id_text", "severity", "assets", "to_review"]
+    want = rows(want, *names)
+    made = _counting(monkeypatch)
+    assert rows(exposure_report.department_exposure(codes, cve, asset, department), *names) == want
+    assert exposure_report.department_exposure(*_tables(spark, assets=2000)).count()
+    assert len(made) == 2 and made[0] < 200 and made[1] < 200  # kinds and rules, however many assets there are
+
+
+def test_hits_of_assets_make_no_row_per_match(spark, rows, monkeypatch):
+    codes, cve, asset, _ = _tables(spark)
+    want = matching.match_assets(codes, cve, asset).groupBy("asset_id").agg(
+        F.count("*").alias("matches"), F.count_if("reason.candidate").alias("candidates"))
+    want = rows(want)
+    made = _counting(monkeypatch)
+    assert rows(matching.asset_hits(codes, cve, asset), "asset_id", "matches", "candidates") == want
+    codes, cve, asset, _ = _tables(spark, codes=300, assets=2000)
+    assert matching.asset_hits(codes, cve, asset).count()
+    assert len(made) == 2 and made[0] < 200 and made[1] < 200
