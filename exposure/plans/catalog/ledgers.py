@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exposure.functions.grid import letter_to_idx
 from exposure.operators import ledger as L
-from exposure.operators.matching import match_assets
+from exposure.operators.matching import asset_hits
 from exposure.plans.catalog.registry import flat, query
 from exposure.plans.catalog.views_sql import VIEWS, product_key_sql, product_sql
 from exposure.plans.demo import Views
@@ -221,8 +221,6 @@ def _(v: Views) -> DataFrame:
     )
     out = L.commit_assets(_body(v), MAPPING, stored, v.department)
     asset = store(L.with_keys(out["asset"], out["department"]), "keyed")
-    hits = match_assets(v.codes, v.cve, asset).groupBy("asset_id").agg(
-        F.count("*").alias("matches"), F.count_if("reason.candidate").alias("candidates")
-    )
+    hits = asset_hits(v.codes, v.cve, asset)
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("matches", "candidates")}
     return asset.select("asset_id", "asset_no", F.col("department_id").cast("bigint").alias("department_id")).join(hits, "asset_id", "left").withColumns(zero)
