@@ -87,3 +87,39 @@ def test_hits_of_assets_make_no_row_per_match(spark, rows, monkeypatch):
     codes, cve, asset, _ = _tables(spark, codes=300, assets=2000)
     assert matching.asset_hits(codes, cve, asset).count()
     assert len(made) == 2 and made[0] < 200 and made[1] < 200
+
+
+def test_a_merge_deals_out_the_columns_that_are_asked_for(spark, rows):
+    fields = "reason struct<product_key:string,candidate:boolean>"
+    key = "advisory_id long, cve_id_text string, asset_id long"
+    old = spark.createDataFrame([(1, "a", 1, ("p", True), "EXCLUDED", "DONE", "n"), (1, "a", 2, None, None, None, "m")],
+                                f"{key}, {fields}, status string, ack_status string, ack_note string")
+    new = spark.createDataFrame([(1, "a", 1, ("q", False)), (2, "b", 3, ("r", True)), (1, "a", 2, None)], f"{key}, {fields}")
+    merged = matching.merge_matches(old, new)
+    assert rows(merged, "asset_id", "reason.product_key", "status", "ack_status", "ack_note", "touched") == [
+        (1, "q", "EXCLUDED", "DONE", "n", True), (2, None, None, None, "m", True), (3, "r", "MATCHED", "NONE", None, True)]
+    slim = matching.merge_matches(matching.with_reason(old, "candidate"), matching.with_reason(new, "candidate"))
+    assert rows(slim, "asset_id", "reason.candidate") == rows(merged, "asset_id", "reason.candidate")
+    dealt = merged.select("asset_id", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ack_note" not in dealt and "_reason" not in dealt  # the whole stored row was one value before
+
+
+def test_flags_before_the_advisories_are_those_after(spark, rows):
+    codes, cve, asset, _ = _tables(spark)
+    known = asset.select("asset_id", "product_key", F.lit("x").alias("reason"), (F.col("asset_id") % 3 == 0).alias("is_active"))
+    want = matching.flag_suggested(matching.match_assets(codes, cve, asset), known)
+    names = ("advisory_id", "cve_id_text", "asset_id", "department_id", "reason.candidate", "reason.suggested_exclude")
+    assert rows(matching.match_assets(codes, cve, asset, known), *names) == rows(want, *names)
+
+
+def test_matches_are_not_written_for_their_readers(spark, monkeypatch):
+    from exposure.plans import demo
+
+    written, plain = [], demo.store
+    monkeypatch.setattr(demo, "store", lambda df, name: written.append(name) or plain(df, name))
+    codes, cve, asset, _ = _tables(spark)
+    known = asset.select("asset_id", "product_key", (F.col("asset_id") % 3 == 0).alias("is_active"))
+    views = demo.Views(spark, "nowhere")
+    views.__dict__.update(codes=codes, cve=cve, asset=asset, exclusion_rule=known)
+    assert not views.match.where("status = 'MATCHED'").isEmpty()
+    assert "match" not in written
