@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from exposure.functions.version import parse_version_rule
 from exposure.operators import matching, products
-from exposure.plans import exposure_report
+from exposure.plans import demo, exposure_report
 
 
 def test_only_pieces_that_may_be_an_alias_leave_their_task(spark, monkeypatch):
@@ -113,8 +113,6 @@ def test_flags_before_the_advisories_are_those_after(spark, rows):
 
 
 def test_matches_are_not_written_for_their_readers(spark, monkeypatch):
-    from exposure.plans import demo
-
     written, plain = [], demo.store
     monkeypatch.setattr(demo, "store", lambda df, name: written.append(name) or plain(df, name))
     codes, cve, asset, _ = _tables(spark)
@@ -123,3 +121,18 @@ def test_matches_are_not_written_for_their_readers(spark, monkeypatch):
     views.__dict__.update(codes=codes, cve=cve, asset=asset, exclusion_rule=known)
     assert not views.match.where("status = 'MATCHED'").isEmpty()
     assert "match" not in written
+
+
+def test_only_columns_of_messages_are_written(spark, monkeypatch):
+    from exposure.plans.catalog import notifications
+
+    written, plain = [], notifications.store
+    monkeypatch.setattr(notifications, "store", lambda df, name: written.append((name, df.columns)) or plain(df, name))
+    match = spark.createDataFrame([(1, "a", 2, ("p",), "MATCHED", "NONE")],
+                                  "advisory_id long, cve_id_text string, asset_id long, reason struct<product_key:string>, status string, ack_status string")
+    names = ["asset_no", "product_raw", "product_key", "version_raw", "version_norm", "ip", "owner_name", "status"]
+    asset = spark.createDataFrame([(2, 3, *["x"] * 8)], f"asset_id long, department_id long, {', '.join(f'{n} string' for n in names)}")
+    views = demo.Views(spark, "nowhere")
+    views.__dict__.update(match=match, asset=asset)
+    assert notifications._active(views).count() == 1 and notifications._active(views, *notifications._LINE).count() == 1
+    assert [len(columns) for _, columns in written] == [5, 10]  # every column of match and asset before
