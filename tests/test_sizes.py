@@ -136,3 +136,14 @@ def test_only_columns_of_messages_are_written(spark, monkeypatch):
     views.__dict__.update(match=match, asset=asset)
     assert notifications._active(views).count() == 1 and notifications._active(views, *notifications._LINE).count() == 1
     assert [len(columns) for _, columns in written] == [5, 10]  # every column of match and asset before
+
+
+def test_replies_write_only_what_they_read(spark):
+    from exposure.plans.catalog import replies
+
+    match = spark.createDataFrame([(1, "a", 2, ("p",), "MATCHED", None, "NONE")], "advisory_id long, cve_id_text string, asset_id long, "
+                                  "reason struct<product_key:string>, status string, excluded_reason string, ack_status string")
+    views = demo.Views(spark, "nowhere")
+    views.__dict__.update(match=match)
+    kept = replies._matches(views)
+    assert kept.columns == ["advisory_id", "cve_id_text", "asset_id", "status", "ack_status"] and kept.count() == 1
